@@ -10,13 +10,13 @@ Pieces of like size are worked on side by side in numpy arrays.
 from __future__ import annotations
 
 import base64
-import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles  # noqa: F401  (files may be shipped with --files)
 from pyspark.sql import DataFrame
 
+from .common import in_slices
+
 #: Bytes of position in a leaf's low bits; longer pieces than 2**40 can't be.
 SHIFT = np.int64(40)
 NONE = np.int64(1) << np.int64(62)
@@ -180,24 +180,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk_bytes: int
     """
     def run(batches):
         merger, find, cache = _worker(path, pattern)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(ids):
-                held, end = 0, at
-                while end < len(ids) and (held == 0 or held < chunk_bytes):
-                    held += len(texts[end]) + 1
-                    end += 1
-                coded = encode_texts(texts[at:end], merger, find, cache)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at:end], pa.int64()), pa.array(coded, pa.binary()), pa.array([merger.decode(c) for c in coded], pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
-                )
-                at = end
+        for batch in in_slices(batches, most_bytes=chunk_bytes):
+            coded = encode_texts([t or "" for t in batch.column(1).to_pylist()], merger, find, cache)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.array([merger.decode(c) for c in coded], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return rows.mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_arrow_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow under a name that says what the operators use it for: whole batches, no row-wise calls."""
-    return df.mapInArrow(function, schema)
+def in_slices(batches, column: str = "text", most_bytes: int = 4 << 20, most_rows: int = 4096):
+    """Cut Arrow batches so that a slice's column holds about most_bytes; a longer value is a slice of its own."""
+    for batch in batches:
+        at, n = batch.schema.get_field_index(column), batch.num_rows
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes)
+        start = 0
+        while start < n:
+            before = upto[start - 1] if start else 0
+            end = min(max(int(np.searchsorted(upto, before + most_bytes, "right")), start + 1), start + most_rows, n)
+            yield batch.slice(start, end - start)
+            start = end

@@ -6,8 +6,9 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, tiff, warc
+from . import bpe, html_text, quality, tiff, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -34,6 +35,20 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(tiff.texts_as_tiff(table(spark, sf_dir, "documents")))
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +68,9 @@ def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op3_tiff_pages": op3_tiff_pages,
+    "op4_robust_outliers": op4_robust_outliers,
+    "op6_toxicity_nb": op6_toxicity_nb,
+    "op10_html_blocks": op10_html_blocks,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
 }
 SQL = {"op1_warc_revisits": OP1_SQL}

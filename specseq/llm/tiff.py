@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_slices
+
 #: Tag numbers of TIFF 6.0 and its supplements.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 PLAIN, LZW, DEFLATE_NEW, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
@@ -242,38 +244,52 @@ def read_tiff(data: bytes):
         yield image, NAMES[compression]
 
 
+def _pages_of(data: bytes | None):
+    """Rows as in PAGES of one file. A null, empty or broken file ends in a row with page -1 and the reason."""
+    i = 0
+    try:
+        for i, (image, how) in enumerate(read_tiff(data or b"")):  # noqa: B007
+            yield i, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, how, image.tobytes(), None
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        yield -1, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+
+def _by_page(files: DataFrame, content: str, keep: list[str], schema: str, kinds: list, row) -> DataFrame:
+    """mapInArrow over the pages of the files in content: the columns in keep, then what row(file, page) gives."""
+    files = files.select(*keep, files[content].cast("binary").alias(content))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name in keep)
+    names = [*keep, *(x.split()[0] for x in schema.split(", "))]
+
+    def run(batches):
+        for batch in in_slices(batches, content):
+            of, rows = [], []
+            for i, data in enumerate(batch.column(len(keep)).to_pylist()):
+                for page in _pages_of(data):
+                    of.append(i)
+                    rows.append(row(data, page))
+            if rows:
+                own = [c.take(pa.array(of)) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return files.mapInArrow(run, f"{kept}, {schema}")
+
+
 def tiff_pages(files: DataFrame, content: str, keep: list[str]) -> DataFrame:
-    """One row for each page: the columns in keep, the file's bytes and PAGES; pixels in row order, samples side by side.
+    """One row for each page: the columns in keep, then PAGES; pixels in row order, samples side by side.
 
     A null, empty or broken file gives one row with page -1 and the reason in
     ``error``; pages before the break are kept. Repeated rows and null keys give
     rows each. Columns outside keep and content are left out.
     """
-    files = files.select(*keep, files[content].cast("binary").alias(content))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", " + PAGES
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
-
-    def run(batches):
-        for batch in batches:
-            for row, data in enumerate(batch.column(len(keep))):
-                pages = []
-                try:
-                    for i, (image, how) in enumerate(read_tiff(data.as_py() or b"")):
-                        pages.append((i, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, how, image.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    pages.append((-1, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-                if pages:
-                    own = [c.take(pa.array([row] * len(pages))) for c in batch.columns]
-                    yield pa.RecordBatch.from_arrays(own + [pa.array(x, t) for x, t in zip(zip(*pages, strict=True), kinds, strict=True)], names=[*keep, content, *(x.split()[0] for x in PAGES.split(", "))])
-
-    return files.mapInArrow(run, schema)
+    return _by_page(files, content, keep, PAGES, kinds, lambda data, page: page)
 
 
 def texts_as_tiff(docs: DataFrame, width: int = 192) -> DataFrame:
     """doc_id, n_bytes and media: each whole text as a one-page grey image, padded by spaces to full rows. A null text is empty and gives one row of spaces."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             raw = [t.encode() for t in (x or "" for x in batch.column(1).to_pylist())]
             media = []
             for b in raw:
@@ -284,30 +300,25 @@ def texts_as_tiff(docs: DataFrame, width: int = 192) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def page_features(pixels: bytes, width: int, height: int) -> str:
+def page_feature(pixels: bytes, width: int, height: int) -> str:
     """Size, mean and entropy of the samples."""
     seen = np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
-    share = seen[seen > 0] / seen.sum()
-    return f"{width}x{height} mean={float((seen * np.arange(256)).sum() / seen.sum()):.6f} entropy={float(-(share * np.log2(share)).sum()):.6f}"
+    total = int(seen.sum())
+    share = seen[seen > 0] / total
+    return f"{width}x{height} mean={int(seen @ np.arange(256)) / total:.6f} entropy={float(-(share * np.log2(share)).sum()):.6f}"
+
+
+DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Digests and features of what is read back from the rows of texts_as_tiff(), one row a page."""
-    pages = tiff_pages(media, "media", ["doc_id", "n_bytes"])
+    """Digests and a feature of each page that is read back from the rows of texts_as_tiff(). Pixels stay in the task that decodes them."""
 
-    def run(batches):
-        for batch in batches:
-            c = dict(zip(batch.schema.names, batch.columns, strict=True))
-            pixels = [x.as_py() or b"" for x in c["pixels"]]
-            stored = [x.as_py() for x in c["media"]]
-            sizes = zip(pixels, c["width"].to_pylist(), c["height"].to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    c["doc_id"], c["n_bytes"], pa.array([len(p) for p in pixels], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in pixels]),
-                    pa.array([zlib.crc32(p[-16:]) for p in pixels], pa.int64()), pa.array([len(m) for m in stored], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in stored]), pa.array([page_features(*s) if s[0] else None for s in sizes], pa.string()),
-                ],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return pages.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def row(data, page):
+        pixels = page[6]
+        if pixels is None:
+            return None, None, None, len(data or b""), hashlib.sha256(data or b"").hexdigest(), page[7]
+        return len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-16:]), len(data), hashlib.sha256(data).hexdigest(), page_feature(pixels, page[1], page[2])
+
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _by_page(media, "media", ["doc_id", "n_bytes"], DIGEST, kinds, row)
