@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, quality, tiff, toxicity, warc
+from . import bpe, html_text, packing, quality, tiff, token_counts, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -49,6 +49,18 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
+
+
 def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +83,8 @@ QUERIES = {
     "op4_robust_outliers": op4_robust_outliers,
     "op6_toxicity_nb": op6_toxicity_nb,
     "op10_html_blocks": op10_html_blocks,
+    "op7_unigram_counts": op7_unigram_counts,
+    "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
 }
 SQL = {"op1_warc_revisits": OP1_SQL}
