@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, packing, quality, tiff, token_counts, toxicity, warc
+from . import bpe, html_text, jaccard, packing, quality, tiff, token_counts, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -39,6 +39,25 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w
+), n as (select doc_id, count(*) n from s group by doc_id),
+links as (
+  select a.doc_id a, b.doc_id b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach as (select doc_id a, doc_id b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, m.component_id
+from documents d left join n using (doc_id) join (select a doc_id, min(b) component_id from reach group by a) m using (doc_id)
+"""
+
+
 def op6_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -81,10 +100,11 @@ QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op3_tiff_pages": op3_tiff_pages,
     "op4_robust_outliers": op4_robust_outliers,
+    "op5_partenum_join": op5_partenum_join,
     "op6_toxicity_nb": op6_toxicity_nb,
     "op10_html_blocks": op10_html_blocks,
     "op7_unigram_counts": op7_unigram_counts,
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
 }
-SQL = {"op1_warc_revisits": OP1_SQL}
+SQL = {"op1_warc_revisits": OP1_SQL, "op5_partenum_join": OP5_SQL}
