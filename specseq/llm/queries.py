@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard, packing, quality, tiff, token_counts, toxicity, warc
+from . import bpe, html_text, jaccard, packing, quality, repeats, tiff, token_counts, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -31,6 +31,10 @@ from q
 """
 
 
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), match=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(tiff.texts_as_tiff(table(spark, sf_dir, "documents")))
 
@@ -98,6 +102,7 @@ def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_run_length_index": op2_run_length_index,
     "op3_tiff_pages": op3_tiff_pages,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_partenum_join": op5_partenum_join,
