@@ -51,6 +51,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: So many ids or estimates are broadcast at most; beyond that they are joined by shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """A table of few narrow columns, to be broadcast if it has at most MOST_BROADCAST rows. It is counted, so it should be a written one."""
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST else small
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among the ids in the one column of ids; a null id counts as a value."""
+    ids = sized(written(ids.toDF("_gone").distinct(), "ids"))
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_gone"]), "left_anti")
+
+
 def in_slices(batches, column: str = "text", most_bytes: int = 4 << 20, most_rows: int = 4096):
     """Cut Arrow batches so that a slice's column holds about most_bytes; a longer value is a slice of its own."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices, written
+from .common import in_slices, sized, without_ids, written
 from .dealing import SCHEMA, bucket_count, deal, dealt, gathered, mixed, runs_of
 from .shingles import set_hash, shingle_sets
 
@@ -37,8 +37,6 @@ SUBSETS = list(combinations(range(N2), N2 - K2))
 SMALL = 6
 #: Deals anew of large groups with several components, after which what is left is compared.
 LEVELS = 4
-#: Nodes in candidate pairs up to which their ids are broadcast to the scan of the texts; beyond it they are joined by shuffle.
-MOST_BROADCAST = 1_000_000
 SALTS = 16
 
 
@@ -190,10 +188,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and shingles (array of long) for wanted (node, doc_id): the set of the one document that stands for a node."""
-    n = wanted.count()
-    ids = wanted.select(F.col("doc_id").alias("_id"), "node")
-    texts = docs.selectExpr("cast(doc_id as long) _id", "cast(text as string) text")
-    joined = texts.join(F.broadcast(ids) if n <= MOST_BROADCAST else ids, "_id")
+    ids = sized(wanted.select(F.col("doc_id").alias("_id"), "node"))
+    joined = docs.selectExpr("cast(doc_id as long) _id", "cast(text as string) text").join(ids, "_id")
 
     def run(batches):
         for batch in in_slices(batches, most_bytes=1 << 20):
@@ -275,6 +271,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return linked.unionByName(of_rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the least of its near_groups() component. Rows without an id stay."""
+    return without_ids(docs, near_groups(docs).where("doc_id <> component_id").select("doc_id"))
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANK, written
+from .common import BLANK, sized, without_ids, written
 
 #: Vectors count in 1024ths.
 STEP = 1024
@@ -184,7 +184,7 @@ def minimum_covariance_determinant(members: DataFrame) -> DataFrame:
     d = len(X)
     long = members.select("grp", F.posexplode(F.array(*X)).alias("dim", "x"))
     medians = written(_quantile_bins(long.withColumn("bin", F.col("x")), ["grp", "dim"], 0.5).withColumnRenamed("cut", "med"), "mcd")
-    spread = long.join(medians, ["grp", "dim"]).select("grp", "dim", F.abs(F.col("x") - F.col("med")).alias("bin"))
+    spread = long.join(sized(medians), ["grp", "dim"]).select("grp", "dim", F.abs(F.col("x") - F.col("med")).alias("bin"))
     start = medians.join(_quantile_bins(spread, ["grp", "dim"], 0.5), ["grp", "dim"])
     floor = F.array(*[F.lit((v * STEP) ** 2) for v in FLOORS.values()])
     diagonal = start.groupBy("grp").pivot("dim", list(range(d))).agg(F.first("med").cast("double").alias("m"), F.first(F.pow(F.col("cut") * 1.4826, F.lit(2)) + floor[F.col("dim")]).alias("v"))
@@ -193,9 +193,9 @@ def minimum_covariance_determinant(members: DataFrame) -> DataFrame:
     )
     factor = SUBSET / chi2_cdf(chi2_quantile(SUBSET, d), d + 2)
     for _ in range(C_STEPS):
-        estimate = written(estimate, "mcd")
+        estimate = sized(written(estimate, "mcd"))
         binned = members.join(estimate, "grp").select("grp", *X, F.least(F.floor(F.log1p(_distance()) * BINS), F.lit(MOST_BIN)).cast("int").alias("bin"))
-        cuts = _quantile_bins(binned.select("grp", "bin"), ["grp"], SUBSET)
+        cuts = sized(written(_quantile_bins(binned.select("grp", "bin"), ["grp"], SUBSET), "mcd"))
         estimate = _estimate(binned.join(cuts, "grp").where("bin <= cut"), factor)
     return written(estimate, "mcd")
 
@@ -211,7 +211,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = written(_grouped(vectors(written(base_statistics(docs), "stats"))), "vectors")
     estimate = minimum_covariance_determinant(_members(rows))
     cut = chi2_quantile(QUANTILE, len(X))
-    judged = rows.join(estimate, "grp", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
+    judged = rows.join(sized(estimate), "grp", "left").withColumn("distance2", F.when(~F.col("base_failed"), _distance()))
     return judged.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cut)).alias("kept"), "distance2",
@@ -219,6 +219,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. A document id that stands for several rows is kept if all of them are."""
-    good = judge(docs).groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept").select(F.col("doc_id").alias("_good"))
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_good"]), "left_semi")
+    """The rows of docs that judge() keeps, with all their columns. A doc_id (or null) that stands for several rows is kept if all of them are."""
+    return without_ids(docs, judge(docs).where("not kept").select("doc_id"))

@@ -25,6 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_slices
 from .dealing import bucket_count, dealt, from_planes, mixed, planes, runs_of
@@ -303,17 +304,17 @@ def _marked(start: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return marks[cut] + start, np.diff(np.append(cut, len(marks)))
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary) of each row of docs.
+def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns named in carry of each row of docs.
 
     Texts are their UTF-8 bytes, whole; a null text is empty. Strings are judged
     on the input, within a document. Rows of equal doc_id aren't earlier than each other. A
-    null doc_id is neither earlier nor later than any, so its row keeps all. Columns other
-    than doc_id and text are left out. No rows give no rows.
+    null doc_id is neither earlier nor later than any, so its row keeps all. Other columns
+    are left out. No rows give no rows.
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)
-    rows = docs.selectExpr(f"cast(coalesce(pmod(cast(doc_id as long), {buckets}), 0) as int) bucket", "cast(doc_id as long) doc_id", "cast(text as string) text")
+    rows = docs.selectExpr(f"cast(coalesce(pmod(cast(doc_id as long), {buckets}), 0) as int) bucket", "cast(doc_id as long) doc_id", "cast(text as string) text", *[f"`{c}`" for c in carry])
 
     def send(batches):
         for batch in in_slices(batches, most_bytes=16 << 20, most_rows=1 << 16):
@@ -466,9 +467,31 @@ def remove_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
             kept = b"".join([*parts, raw[at:]])
             out.append((doc, len(raw), len(raw) - len(kept), n, kept))
         kinds = [pa.int64()] * 4 + [pa.binary()]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([*[pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], *[texts.column(c) for c in carry]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
     shared = dealt(rows.mapInArrow(send, CUT_SCHEMA)).mapInArrow(meet, CUT_SCHEMA)
     strings = rows.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, CUT_SCHEMA)
     spans = dealt(strings).mapInArrow(index, CUT_SCHEMA)
-    return rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(keep, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry]]))
+
+
+
+def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
+    """The rows and columns of docs with repeated passages cut from text.
+
+    A character of which some bytes are cut goes whole. A null text becomes an
+    empty one; n_chars, if there, is counted anew.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "bucket"))
+    kept = remove_repeats(docs, match, others)
+
+    def decode(batches):
+        for batch in in_slices(batches, "kept"):
+            texts = [k.decode("utf-8", "ignore") for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
+
+    schema = ", ".join(["text string", "doc_id long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]])
+    out = kept.select("kept", "doc_id", *others).mapInArrow(decode, schema)
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[c for c in docs.columns if c != "bucket"])
