@@ -1,6 +1,8 @@
-"""The registered queries and their DuckDB SQL."""
+"""All registered queries of the library but those of the corpus operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import spectra_queries
+
+QUERIES = {**spectra_queries.QUERIES}
+SQL = {**spectra_queries.SQL}
