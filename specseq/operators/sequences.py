@@ -29,9 +29,11 @@ def adjacent(rows: DataFrame, key: str, sequence: str) -> DataFrame:
 
 def kmers(rows: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key and each substring of k characters with repetition."""
-    n = F.length(text) - k + 1
+    x = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.size(x) - k + 1
     at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return rows.select(key, F.explode(F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(k)))).alias("kmer"))
+    split = rows.select(key, x.alias("_x"), at.alias("_at"))
+    return split.select(key, F.explode(F.transform("_at", lambda i: F.array_join(F.slice("_x", i, F.lit(k)), ""))).alias("kmer"))
 
 
 def match_probability(kmer_rows: DataFrame, by: str) -> DataFrame:

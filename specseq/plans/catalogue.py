@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import spectra_queries
+from . import graph_queries, result_queries, spectra_queries
 
-QUERIES = {**spectra_queries.QUERIES}
-SQL = {**spectra_queries.SQL}
+QUERIES = {**spectra_queries.QUERIES, **result_queries.QUERIES, **graph_queries.QUERIES}
+SQL = {**spectra_queries.SQL, **result_queries.SQL, **graph_queries.SQL}
