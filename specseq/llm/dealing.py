@@ -15,7 +15,7 @@ from .common import shuffle_width
 
 SCHEMA = "bucket int, keys binary, docs binary, places binary"
 #: Entries that a receiving task holds at once are one partition's; a partition has so many buckets on average.
-BUCKETS = 8
+BUCKETS = 2
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -76,3 +76,11 @@ def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.append(0, np.nonzero(sorted_keys[1:] != sorted_keys[:-1])[0] + 1)
     return starts, np.append(starts[1:], len(sorted_keys))
+
+
+def runs_of_two(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs in which both columns, sorted together, stay equal."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.append(0, np.nonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]))[0] + 1)
+    return starts, np.append(starts[1:], len(a))

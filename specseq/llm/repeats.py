@@ -20,7 +20,7 @@ so no group grows with the corpus.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices
-from .dealing import bucket_count, dealt, from_planes, mixed, planes, runs_of
+from .dealing import bucket_count, dealt, from_planes, mixed, planes, runs_of, runs_of_two
 
 #: Bytes of a match, and of the strings whose hashes are window keys.
 MATCH, SEED = 50, 20
@@ -38,18 +38,23 @@ STRETCH = 1024
 INDEX_BYTES = 1 << 20
 
 
-def window_keys(a: np.ndarray, match: int = MATCH, seed: int = SEED) -> np.ndarray:
-    """For each window of ``match`` bytes of a the least hash of the ``seed``-byte strings in it."""
-    n = len(a) - seed + 1
+def words_at(a: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; bytes past the end are 0."""
     raw = a.tobytes() + b"\0" * 16
-    eight = np.empty(len(a) + 8, np.uint64)
+    out = np.empty(len(a) + 8, np.uint64)
     for o in range(8):
-        m = len(eight[o::8])
-        eight[o::8] = np.frombuffer(raw, "<u8", count=min(m, (len(raw) - o) // 8), offset=o)[:m]
-    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+        m = len(out[o::8])
+        out[o::8] = np.frombuffer(raw, "<u8", count=min(m, (len(raw) - o) // 8), offset=o)[:m]
+    return out
+
+
+def window_keys(words: np.ndarray, size: int, match: int = MATCH, seed: int = SEED) -> np.ndarray:
+    """For each window of ``match`` of the ``size`` bytes the least hash of the ``seed``-byte strings in it."""
+    n = size - seed + 1
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     for at in [*range(8, seed - 8, 8), seed - 8]:
-        h += eight[at : at + n]
+        h += words[at : at + n]
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     width, step = match - seed + 1, 1
@@ -59,31 +64,45 @@ def window_keys(a: np.ndarray, match: int = MATCH, seed: int = SEED) -> np.ndarr
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if width > step else h
 
 
-def stretches(raw: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """key, text number, first window and number of windows of each stretch of the texts."""
+def string_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings of at least eight bytes that lie at starts in the bytes behind ``words``."""
+    h = words[starts + sizes - 8] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = np.arange(len(starts))
+    for j in range(int((sizes.max() - 1) // 8) if len(sizes) else 0):
+        rows = rows[sizes[rows] > 8 * j + 8]
+        h[rows] = mixed(h[rows] + words[starts[rows] + 8 * j])
+    return mixed(h)
+
+
+def stretches(raw: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """key, text number, first window and number of windows of each stretch of the texts; then the words_at() of their joined bytes, and where each text starts there."""
     sizes = np.array([len(r) for r in raw], np.int64)
     a = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    words = words_at(a)
+    none = np.zeros(0, np.int64)
     if len(a) < match:
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    keys = window_keys(a, match)
-    starts = np.cumsum(sizes) - sizes
-    counts = np.maximum(sizes - match + 1, 0)
-    has = np.nonzero(counts)[0]
-    text = np.repeat(has, counts[has])
-    at = np.arange(len(text)) - np.repeat(np.cumsum(counts[has]) - counts[has], counts[has])  # window within its text
-    key = keys[starts[text] + at]
-    new = np.ones(len(key), bool)
-    if len(key):
-        new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+        return np.zeros(0, np.uint64), none, none, none, words, starts
+    keys = window_keys(words, len(a), match)
+    new = np.empty(len(keys), bool)
+    new[0] = True
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    new[starts[starts < len(keys)]] = True
+    over = np.maximum(ends - match + 1, starts)  # from here on windows reach over the text's end
+    new[over[over < len(keys)]] = True
     first = np.nonzero(new)[0]
-    length = np.diff(np.append(first, len(key)))
+    length = np.diff(np.append(first, len(keys)))
+    text = np.searchsorted(starts, first, "right") - 1
+    good = first < over[text]
+    first, length, text = first[good], length[good], text[good]
+    key = keys[first]
     if len(length) and length.max() > STRETCH:
         parts = -(-length // STRETCH)
         owner = np.repeat(np.arange(len(first)), parts)
         turn = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        length = np.minimum(length[owner] - turn * STRETCH, STRETCH)
-        first = first[owner] + turn * STRETCH
-    return key[first], text[first], at[first], length
+        key, text, first, length = key[owner], text[owner], first[owner] + turn * STRETCH, np.minimum(length[owner] - turn * STRETCH, STRETCH)
+    return key, text, first - starts[text], length, words, starts
 
 
 class RunLengthIndex:
@@ -193,80 +212,87 @@ class RunLengthIndex:
         return found
 
 
-def earlier_windows(strings: list[bytes], ranks: np.ndarray, match: int = MATCH) -> list[np.ndarray]:
-    """For each string the numbers of its windows that a string of lesser rank has too. Strings are distinct; equal ranks don't count as lesser."""
+def earlier_windows(strings: list[bytes], ranks: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    """String number and window number, in this order, of the windows that a string of lesser rank has too. Strings are distinct; equal ranks don't count as lesser."""
     order = np.argsort(ranks, kind="stable")
     index = RunLengthIndex([strings[i] for i in order], match)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(strings)
+    sorted_ranks = ranks[order]
     sizes = np.array([len(strings[i]) for i in order])
     by_size = np.argsort(sizes, kind="stable")
-    at = 0
+    which, windows, at = [], [], 0
     while at < len(by_size):  # strings of like size side by side
-        end = at + 1
         limit = max(int(sizes[by_size[at]]) * 5 // 4, int(sizes[by_size[at]]) + 8)
         end = int(np.searchsorted(sizes[by_size], limit, "right"))
-        end = min(max(end, at + 1), at + max(1, (1 << 21) // limit))
+        end = min(max(end, at + 1), at + max(1, (1 << 20) // limit))
         rows = by_size[at:end]
         wide = int(sizes[rows].max())
-        matrix = np.zeros((len(rows), wide), np.int64)
-        for k, r in enumerate(rows):
-            matrix[k, wide - sizes[r] :] = index.text[index.starts[r] : index.starts[r] + sizes[r]]
-        found = index.least_strings(matrix, sizes[rows])
-        sorted_ranks = ranks[order]
+        place = index.starts[rows][:, None] + (np.arange(wide) - (wide - sizes[rows])[:, None])
+        found = index.least_strings(index.text[np.maximum(place, 0)], sizes[rows])
         hit = (found >= 0) & (sorted_ranks[np.maximum(found, 0)] < sorted_ranks[rows][:, None])
         k, col = np.nonzero(hit)
-        cuts = np.searchsorted(k, np.arange(len(rows) + 1))
-        for j, r in enumerate(rows):
-            out[order[r]] = col[cuts[j] : cuts[j + 1]] - (wide - sizes[r])
+        which.append(order[rows[k]])
+        windows.append(col - (wide - sizes[rows[k]]))
         at = end
-    return out
+    which, windows = np.concatenate(which), np.concatenate(windows)
+    turn = np.lexsort((windows, which))
+    return which[turn], windows[turn]
 
 
-def marks_of_group(strings: list[bytes], ranks: np.ndarray, match: int) -> list[np.ndarray]:
+def marks_of_group(strings: list[bytes], ranks: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
     """earlier_windows(), through several indexes where the strings are too many for one: then over their distinct windows, shared out by hash."""
-    total = sum(map(len, strings))
-    if total <= 4 * INDEX_BYTES:
+    if sum(map(len, strings)) <= 4 * INDEX_BYTES:
         return earlier_windows(strings, ranks, match)
-    shares = -(-sum(len(s) - match + 1 for s in strings) * match // (2 * INDEX_BYTES))
-    raw = [np.frombuffer(s, np.uint8) for s in strings]
-    salt = mixed(np.arange(1, match + 1, dtype=np.uint64)) | np.uint64(1)
-    share = []
-    for a in raw:
-        views = np.lib.stride_tricks.sliding_window_view(a, match).astype(np.uint64)
-        share.append((mixed(views @ salt) % np.uint64(shares)).astype(np.int64))
-    out: list[list[int]] = [[] for _ in strings]
+    counts = np.array([len(s) - match + 1 for s in strings])
+    shares = -(-int(counts.sum()) * match // (2 * INDEX_BYTES))
+    starts = np.cumsum([len(s) for s in strings]) - [len(s) for s in strings]
+    owner = np.repeat(np.arange(len(strings)), counts)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    share = string_hashes(words_at(np.frombuffer(b"".join(strings), np.uint8)), starts[owner] + window, np.full(len(owner), match)) % np.uint64(shares)
+    hit = np.zeros(len(owner), bool)
     for part in range(shares):
+        rows = np.nonzero(share == part)[0]
+        cut = [strings[i][w : w + match] for i, w in zip(owner[rows].tolist(), window[rows].tolist(), strict=True)]
         least: dict[bytes, int] = {}
-        where = []
-        for i, own in enumerate(share):
-            for w in np.nonzero(own == part)[0].tolist():
-                window = strings[i][w : w + match]
-                where.append((i, w, window))
-                if least.get(window, 1 << 63) > ranks[i]:
-                    least[window] = int(ranks[i])
-        windows = sorted(least, key=least.__getitem__)
-        index = RunLengthIndex(windows, match)
-        symbols = np.frombuffer(b"".join(windows), np.uint8).reshape(len(windows), match).astype(np.int64) + 1
-        first = index.least_strings(symbols, np.full(len(windows), match))[:, 0]
-        rank_of = {w: least[windows[k]] for w, k in zip(windows, first.tolist(), strict=True)}
-        for i, w, window in where:
-            if rank_of[window] < ranks[i]:
-                out[i].append(w)
-    return [np.array(sorted(x), np.int64) for x in out]
-
-
-def text_hash(data: bytes) -> np.uint64:
-    return np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), "<u8")[0]
-
-
-CUT_SCHEMA = "bucket int, kind int, keys binary, docs binary, places binary, hashes binary, sizes binary, strings binary"
+        for c, r in zip(cut, ranks[owner[rows]].tolist(), strict=True):
+            if least.get(c, 1 << 63) > r:
+                least[c] = r
+        distinct = sorted(least, key=least.__getitem__)
+        if not distinct:
+            continue
+        index = RunLengthIndex(distinct, match)
+        symbols = np.frombuffer(b"".join(distinct), np.uint8).reshape(len(distinct), match).astype(np.int64) + 1
+        first = index.least_strings(symbols, np.full(len(distinct), match))[:, 0]
+        rank_of = dict(zip(distinct, (least[distinct[k]] for k in first.tolist()), strict=True))
+        hit[rows] = np.array([rank_of[c] for c in cut]) < ranks[owner[rows]]
+    return owner[hit], window[hit]
+
+
+def text_check(data: bytes) -> int:
+    """Tells texts that share a doc_id apart."""
+    return zlib.crc32(data)
+
+
+CUT_SCHEMA = "bucket int, kind int, keys binary, docs binary, places binary, checks binary, sizes binary, strings binary"
 #: kinds: an entry of a key; a stretch that others may share; a stretch to index; a span to remove.
 ENTRY, SHARED, STRING, SPAN = 0, 1, 2, 3
+ENTRY_BITS = np.uint64((1 << 48) - 1)
+
 
+def _row(bucket: int, kind: int, keys, docs, places, checks=None, sizes=None, strings: bytes = b"") -> tuple:
+    """keys: whole, or of ENTRY rows their lower 48 bits, which are enough to tell what may be shared."""
+    if keys is None:
+        packed = b""
+    elif kind == ENTRY:
+        packed = keys.astype("<u4").tobytes() + (keys >> np.uint64(32)).astype("<u2").tobytes()
+    else:
+        packed = keys.astype("<u8").tobytes()
+    checked = np.ascontiguousarray(checks).astype("<u4").tobytes() if checks is not None else b""
+    return bucket, kind, packed, planes(np.diff(docs, prepend=0)), planes(places), checked, planes(sizes) if sizes is not None else b"", pa.compress(strings, "zstd", asbytes=True) if strings else b""
 
-def _row(bucket: int, kind: int, keys, docs, places, hashes=None, sizes=None, strings: bytes = b"") -> tuple:
-    packed = lambda x: np.ascontiguousarray(x).astype("<u8").tobytes() if x is not None else b""
-    return bucket, kind, packed(keys), planes(np.diff(docs, prepend=0)), planes(places), packed(hashes), planes(sizes) if sizes is not None else b"", strings
+
+def _entry_keys(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -283,11 +309,11 @@ def _by_bucket(bucket: np.ndarray):
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _to_documents(kind: int, docs: np.ndarray, places: np.ndarray, hashes: np.ndarray | None, buckets: int) -> list[tuple]:
+def _to_documents(kind: int, docs: np.ndarray, places: np.ndarray, checks: np.ndarray | None, buckets: int) -> list[tuple]:
     """Rows for the buckets of documents."""
     order = np.lexsort((places, docs))
-    docs, places, hashes = docs[order], places[order], hashes[order] if hashes is not None else None
-    return [_row(b, kind, None, docs[at], places[at], hashes[at] if hashes is not None else None) for b, at in _by_bucket(np.mod(docs, buckets))]
+    docs, places, checks = docs[order], places[order], checks[order] if checks is not None else None
+    return [_row(b, kind, None, docs[at], places[at], checks[at] if checks is not None else None) for b, at in _by_bucket(np.mod(docs, buckets))]
 
 
 def _columns(table) -> dict[str, list]:
@@ -298,12 +324,6 @@ def _span(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return start * (2 * STRETCH) + windows
 
 
-def _marked(start: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows by number as runs: first windows and lengths."""
-    cut = np.nonzero(np.append(True, np.diff(marks) != 1))[0]
-    return marks[cut] + start, np.diff(np.append(cut, len(marks)))
-
-
 def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns named in carry of each row of docs.
 
@@ -321,11 +341,11 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
             keys, owners, turns = [], [], []
             for part in in_slices([batch], most_bytes=1 << 20):
                 ids = part.column(1).to_pylist()
-                key, text, _, _ = stretches([(t or "").encode("utf-8", "replace") if i is not None else b"" for i, t in zip(ids, part.column(2).to_pylist(), strict=True)], match)
+                key, text, *_ = stretches([(t or "").encode("utf-8", "replace") if i is not None else b"" for i, t in zip(ids, part.column(2).to_pylist(), strict=True)], match)
                 keys.append(key)
                 owners.append(np.array([i or 0 for i in ids], np.int64)[text])
                 turns.append(np.arange(len(text)) - np.searchsorted(text, text))
-            key, doc, turn = np.concatenate(keys), np.concatenate(owners), np.concatenate(turns) + 1
+            key, doc, turn = np.concatenate(keys) & ENTRY_BITS, np.concatenate(owners), np.concatenate(turns) + 1
             if not len(key):
                 continue
             order = np.argsort(key, kind="stable")
@@ -344,11 +364,13 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
     def meet(batches):
         keys, owners, turns = [], [], []
         for batch in batches:
-            yield batch.filter(pa.array(np.array(batch.column(1).to_pylist()) == SHARED))
+            known = batch.filter(pa.array(np.array(batch.column(1).to_pylist()) == SHARED))
+            if known.num_rows:
+                yield known
             c = _columns(batch)
             for kind, k, d, p in zip(c["kind"], c["keys"], c["docs"], c["places"], strict=True):
                 if kind == ENTRY:
-                    keys.append(np.frombuffer(k, "<u8"))
+                    keys.append(_entry_keys(k))
                     owners.append(np.cumsum(from_planes(d)))
                     turns.append(from_planes(p))
         if not keys:
@@ -369,93 +391,115 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
             for a, b in zip(starts, ends, strict=True):
                 turns.setdefault(int(d[a]), []).append(p[a:b])
         pairs = [(i, (t or "").encode("utf-8", "replace")) for i, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True) if i in turns]
-        key, text, first, length = stretches([r for _, r in pairs], match)
-        cuts = np.searchsorted(text, np.arange(len(pairs) + 1))
-        known: dict[bytes, list] = {}
-        for j, (doc, raw) in enumerate(pairs):
-            picks = np.unique(np.concatenate(turns[doc]))
-            picks = picks[picks < cuts[j + 1] - cuts[j]] + cuts[j]
-            h = text_hash(raw)
-            for k, f, n in zip(key[picks].tolist(), first[picks].tolist(), length[picks].tolist(), strict=True):
-                known.setdefault(raw[f : f + n + match - 1], []).append((k, doc, h, f, n))
-        spans, strings = [], []
-        for string, places in known.items():
-            least = min(p[1] for p in places)
-            for p in places:
-                (strings if p[1] == least else spans).append((*p, string))
-        out = []
-        if spans:
-            _, d, h, f, n, _ = (np.array(x) for x in zip(*[(*s[:5], 0) for s in spans], strict=True))
-            out += _to_documents(SPAN, d, _span(f, n), h.astype(np.uint64), buckets)
-        if strings:
-            k, d, h, f, n = (np.array(x, t) for x, t in zip(zip(*[s[:5] for s in strings], strict=True), (np.uint64, np.int64, np.uint64, np.int64, np.int64), strict=True))
-            order = np.lexsort((f, d))
-            for b, at in _by_bucket((mixed(k[order]) % np.uint64(buckets)).astype(np.int64)):
-                at = order[at]
-                own = [strings[i][5] for i in at]
-                out.append(_row(b, STRING, k[at], d[at], _span(f[at], n[at]), h[at], np.array([len(x) for x in own], np.int64), b"".join(own)))
+        columns, strings, at = [], [], 0
+        while at < len(pairs):
+            held, end = 0, at
+            while end < len(pairs) and (end == at or held + len(pairs[end][1]) <= 1 << 20):
+                held += len(pairs[end][1])
+                end += 1
+            raw = [r for _, r in pairs[at:end]]
+            key, text, first, length, words, starts = stretches(raw, match)
+            cuts = np.searchsorted(text, np.arange(len(raw) + 1))
+            picks = []
+            for j in range(len(raw)):
+                own = np.unique(np.concatenate(turns[pairs[at + j][0]]))
+                picks.append(own[own < cuts[j + 1] - cuts[j]] + cuts[j])
+            picks = np.concatenate(picks)
+            key, text, first, length = key[picks], text[picks], first[picks], length[picks]
+            hashed = string_hashes(words, starts[text] + first, length + match - 1)
+            docs_, checks = np.array([i for i, _ in pairs[at:end]], np.int64), np.array([text_check(r) for r in raw], np.int64)
+            columns.append((key, docs_[text], _span(first, length), checks[text], hashed, length + match - 1))
+            strings += [raw[t][f : f + n] for t, f, n in zip(text.tolist(), first.tolist(), (length + match - 1).tolist(), strict=True)]
+            at = end
+        if not strings:
+            return pa.Table.from_batches([_batch([])])
+        key, doc, place, check, hashed, size = (np.concatenate(c) for c in zip(*columns, strict=True))
+        # Of equal strings those of the least document are sent; a match of the others is known.
+        order = np.lexsort((place, doc, hashed, key))
+        heads, stops = runs_of_two(key[order], hashed[order])
+        least = np.repeat(doc[order][heads], stops - heads)
+        later = order[doc[order] != least]
+        out = _to_documents(SPAN, doc[later], place[later], check[later], buckets)
+        own = order[doc[order] == least]
+        own = own[np.lexsort((place[own], doc[own]))]
+        for b, at_ in _by_bucket((mixed(key[own]) % np.uint64(buckets)).astype(np.int64)):
+            at_ = own[at_]
+            out.append(_row(b, STRING, key[at_], doc[at_], place[at_], check[at_], size[at_], b"".join([strings[i] for i in at_.tolist()])))
         return pa.Table.from_batches([_batch(out)])
 
     def index(batches):
-        by_key: dict[int, dict[bytes, list]] = {}
+        columns, blobs = [], []
         for batch in batches:
-            yield batch.filter(pa.array(np.array(batch.column(1).to_pylist()) == SPAN))
+            spans = batch.filter(pa.array(np.array(batch.column(1).to_pylist()) == SPAN))
+            if spans.num_rows:
+                yield spans
             c = _columns(batch)
-            for kind, k, d, p, h, z, s in zip(*(c[x] for x in ("kind", "keys", "docs", "places", "hashes", "sizes", "strings")), strict=True):
-                if kind != STRING:
-                    continue
-                sizes = from_planes(z)
-                ends = np.cumsum(sizes)
-                for key, doc, place, hashed, b, n in zip(np.frombuffer(k, "<u8").tolist(), np.cumsum(from_planes(d)).tolist(), from_planes(p).tolist(), np.frombuffer(h, "<u8").tolist(), ends.tolist(), sizes.tolist(), strict=True):
-                    by_key.setdefault(key, {}).setdefault(s[b - n : b], []).append((doc, place, hashed))
-        docs_, places, hashes = [], [], []
-
-        def mark(doc: int, start: int, windows: int, hashed: int) -> None:
-            docs_.append(doc)
-            places.append(start * (2 * STRETCH) + windows)
-            hashes.append(hashed)
-
-        def search(strings: list[bytes], at: list[list]) -> None:
-            ranks = np.array([min(o[0] for o in own) for own in at])
-            for own, rank, marks in zip(at, ranks.tolist(), marks_of_group(strings, ranks, match), strict=True):
-                if len(marks):
-                    firsts, lengths = _marked(0, marks)
-                    for doc, place, hashed in own:
-                        if doc == rank:
-                            for f, n in zip(firsts.tolist(), lengths.tolist(), strict=True):
-                                mark(doc, place // (2 * STRETCH) + f, n, hashed)
-
-        strings, at, held = [], [], 0
-        for own in by_key.values():
-            for places_of in own.values():
-                least = min(o[0] for o in places_of)
-                for doc, place, hashed in places_of:
-                    if doc != least:  # a copy of an earlier document's stretch
-                        mark(doc, place // (2 * STRETCH), place % (2 * STRETCH), hashed)
-            if len(own) == 1:
-                continue  # nothing but copies under this key
-            if held + sum(map(len, own)) > INDEX_BYTES and strings:
-                search(strings, at)
-                strings, at, held = [], [], 0
-            strings += own.keys()
-            at += own.values()
-            held += sum(map(len, own))
+            for kind, k, d, p, h, z, s in zip(*(c[x] for x in ("kind", "keys", "docs", "places", "checks", "sizes", "strings")), strict=True):
+                if kind == STRING:
+                    size = from_planes(z)
+                    columns.append((np.frombuffer(k, "<u8"), np.cumsum(from_planes(d)), from_planes(p), np.frombuffer(h, "<u4").astype(np.int64), size))
+                    blobs.append(pa.decompress(s, int(size.sum()), "zstd", asbytes=True))
+        if not columns:
+            return
+        key, doc, place, check, size = (np.concatenate(c) for c in zip(*columns, strict=True))
+        blob = b"".join(blobs)
+        start = np.cumsum(size) - size
+        hashed = np.concatenate([string_hashes(words_at(np.frombuffer(b, np.uint8)), np.cumsum(c[4]) - c[4], c[4]) for b, c in zip(blobs, columns, strict=True)])
+        del blobs, columns
+        order = np.lexsort((place, doc, hashed, key))
+        heads, stops = runs_of_two(key[order], hashed[order])
+        least = doc[order][heads]
+        group = np.repeat(np.arange(len(heads)), stops - heads)
+        first = doc[order] == least[group]
+        later = order[~first]  # copies of an earlier document's stretch
+        found = [(doc[later], place[later], check[later])]
+        # Rows of the least document of each string, group by group.
+        own, own_group = order[first], group[first]
+        own_at = np.searchsorted(own_group, np.arange(len(heads) + 1))
+        # A string that is alone under its key matches nothing but its copies.
+        key_heads, key_stops = runs_of(key[order][heads])
+        several = np.nonzero(key_stops - key_heads > 1)[0]
+        sizes_of = size[order[heads]]
+        strings, groups, held = [], [], 0
+
+        def search() -> None:
+            which, window = marks_of_group(strings, least[np.array(groups)], match)
+            if not len(which):
+                return
+            cut = np.nonzero(np.append(True, (which[1:] != which[:-1]) | (window[1:] != window[:-1] + 1)))[0]
+            g, begin, n = np.array(groups)[which[cut]], window[cut], np.diff(np.append(cut, len(which)))
+            times = own_at[g + 1] - own_at[g]
+            rows = own[np.repeat(own_at[g], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            found.append((doc[rows], _span(place[rows] // (2 * STRETCH) + np.repeat(begin, times), np.repeat(n, times)), check[rows]))
+
+        for k in several.tolist():
+            a, b = int(key_heads[k]), int(key_stops[k])
+            total = int(sizes_of[a:b].sum())
+            if strings and held + total > INDEX_BYTES:
+                search()
+                strings, groups, held = [], [], 0
+            for g in range(a, b):
+                i = order[heads[g]]
+                strings.append(blob[start[i] : start[i] + size[i]])
+                groups.append(g)
+            held += total
         if strings:
-            search(strings, at)
-        if docs_:
-            yield _batch(_to_documents(SPAN, np.array(docs_, np.int64), np.array(places, np.int64), np.array(hashes, np.uint64), buckets))
+            search()
+        docs_, places, checks = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(docs_):
+            yield _batch(_to_documents(SPAN, docs_, places, checks, buckets))
 
     def keep(texts: pa.Table, found: pa.Table) -> pa.Table:
         c = _columns(found)
         spans: dict[tuple[int, int], list] = {}
-        for d, p, h in zip(c["docs"], c["places"], c["hashes"], strict=True):
-            for doc, place, hashed in zip(np.cumsum(from_planes(d)).tolist(), from_planes(p).tolist(), np.frombuffer(h, "<u8").tolist(), strict=True):
-                spans.setdefault((doc, hashed), []).append((place // (2 * STRETCH), place % (2 * STRETCH)))
+        for d, p, h in zip(c["docs"], c["places"], c["checks"], strict=True):
+            for doc, place, check in zip(np.cumsum(from_planes(d)).tolist(), from_planes(p).tolist(), np.frombuffer(h, "<u4").tolist(), strict=True):
+                spans.setdefault((doc, check), []).append((place // (2 * STRETCH), place % (2 * STRETCH)))
         marked = {d for d, _ in spans}
         out = []
         for doc, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
             raw = (t or "").encode("utf-8", "replace")
-            own = sorted(spans.get((doc, int(text_hash(raw))), ())) if doc in marked else []
+            own = sorted(spans.get((doc, text_check(raw)), ())) if doc in marked else []
             parts, at, n = [], 0, 0
             begin = stop = None
             for f, windows in [*own, (None, None)]:
