@@ -117,12 +117,12 @@ def pack_lzw(data: bytes) -> bytes:
             put(256)
             table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
         else:
-            width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
+            width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
         word = data[i : i + 1]
     if word:
         put(table[word])
         size += 1
-        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
     put(257)
     if bits:
         out.append((held << (8 - bits)) & 255)
