@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, result_queries, spectra_queries
+from . import graph_queries, kernel_queries, result_queries, spectra_queries
 
-QUERIES = {**spectra_queries.QUERIES, **result_queries.QUERIES, **graph_queries.QUERIES}
+QUERIES = {**spectra_queries.QUERIES, **result_queries.QUERIES, **graph_queries.QUERIES, **kernel_queries.QUERIES}
 SQL = {**spectra_queries.SQL, **result_queries.SQL, **graph_queries.SQL}
