@@ -10,10 +10,20 @@ Signatures of empty projections are left out. That loses no pair as long as more
 k // (K2 + 1) partitions of a set have elements in more than K2 parts; a set without so
 many also sends each of its elements as a signature.
 
+In fact a linked pair has a signature in common for every well-filled partition of either set
+that isn't among the k // (K2 + 1) that may differ too much: at least T. So a set may leave
+the T - 1 of its large groups that have the most members, as in prefix filters: the
+rarest signature that a pair has in common is among neither's T - 1 most frequent ones.
+That empties the groups of boilerplate, which pairs of unrelated sets would fill.
+
 Documents with equal sets are one node from the start. Members of a small signature group
-are all compared; in a large one all are compared with the least first, and only
-where links then leave several components in it, its members are dealt anew by
-pairs of its signature and those of a further PartEnum scheme.
+are all candidates; in a large one all are paired with the least first. Where links then
+leave several components among the sets that large groups hold together, these are
+compared block by block on sketches, and only pairs that pass become rows.
+
+A sketch has a bit for each of at least as many parts of the domain as the set has elements,
+the parity of its elements there. Sketches differ in no more bits than the sets in elements, so
+a pair whose sketches differ in more than the allowed number is no link.
 """
 
 from __future__ import annotations
@@ -24,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import in_slices, sized, without_ids, written
 from .dealing import SCHEMA, bucket_count, deal, dealt, gathered, mixed, runs_of
@@ -32,12 +43,14 @@ from .shingles import set_hash, shingle_sets
 #: A link needs 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
 N2, K2 = 3, 1
+#: Partitions beyond the least number, per cent.
+EXTRA = 20
 SUBSETS = list(combinations(range(N2), N2 - K2))
 #: Groups of so many members are compared all with all.
 SMALL = 6
-#: Deals anew of large groups with several components, after which what is left is compared.
-LEVELS = 4
 SALTS = 16
+#: Nodes in a block, and classes of size in a doubling: linked sets are at most two classes apart.
+BLOCK, CLASSES = 512, 6
 
 
 def bands(largest: int) -> list[tuple[int, int, int]]:
@@ -65,13 +78,13 @@ def families(size: int) -> list[tuple[int, int]]:
     return found
 
 
-def signatures(s: np.ndarray, level: int = 0) -> np.ndarray:
-    """All signatures of a set of shingles. Levels are independent schemes."""
-    found = []
+def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a set of shingles, and for each its band * 2**16 + T (1 at least)."""
+    found, spare = [], []
     for band, k in families(len(s)):
         need = k // (K2 + 1)
-        n1 = need + 1 + -(-(need + 1) * 3 // 20) + 1
-        seed = mixed(np.array([band * 64 + level + 1], np.uint64))[0]
+        n1 = need + 1 + -(-(need + 1) * EXTRA // 100) + 1
+        seed = mixed(np.array([band + 1], np.uint64))[0]
         x = mixed(s ^ seed)
         part = ((x >> np.uint64(32)) * np.uint64(n1 * N2) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -82,6 +95,7 @@ def signatures(s: np.ndarray, level: int = 0) -> np.ndarray:
         filled = np.zeros(n1 * N2, bool)
         filled[where] = True
         sums, filled = sums.reshape(n1, N2), filled.reshape(n1, N2)
+        before = len(found)
         for j, subset in enumerate(SUBSETS):
             use = filled[:, subset].any(axis=1)
             place = (np.arange(n1, dtype=np.uint64) * np.uint64(len(SUBSETS)) + np.uint64(j) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -89,9 +103,11 @@ def signatures(s: np.ndarray, level: int = 0) -> np.ndarray:
             for p in subset:  # which part an element is in follows from the element
                 total += sums[:, p]
             found.append(mixed(total + place + seed)[use])
-        if int((filled.sum(axis=1) > K2).sum()) <= need:
+        common = int((filled.sum(axis=1) > K2).sum()) - need
+        if common <= 0:
             found.append(mixed(x + ~seed))
-    return np.concatenate(found)
+        spare += [np.full(len(f), band * 65536 + min(max(common, 1), 65535)) for f in found[before:]]
+    return np.concatenate(found), np.concatenate(spare)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -106,41 +122,36 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """kind, a, b, n: pairs of documents with n common signatures (kind 0), and members b of large groups a (kind 1)."""
+    """kind, a, b, n, spare: pairs of documents with n common signatures (kind 0), and members b of large groups a of n documents (kind 1)."""
     buckets = bucket_count(docs.sparkSession)
 
     def send(batches):
         for batch in in_slices(batches, most_bytes=16 << 20, most_rows=1 << 16):
-            keys, owners, seen = [], [], set()
+            keys, owners, spares, seen = [], [], [], set()
             for part in in_slices([batch], most_bytes=1 << 20):
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     node = set_hash(s)
                     if len(s) and node not in seen and doc is not None:  # of equal sets one is enough: they are one node
                         seen.add(node)
-                        got = signatures(s)
+                        got, spare = signatures(s)
                         keys.append(got)
                         owners.append(np.full(len(got), doc))
+                        spares.append(spare)
             if keys:
-                keys, owners = np.concatenate(keys), np.concatenate(owners)
-                yield deal(keys, owners, np.zeros(len(keys), np.int64), buckets)
+                yield deal(np.concatenate(keys), np.concatenate(owners), np.concatenate(spares), buckets)
 
     def meet(batches):
-        keys, docs, _ = gathered(batches)
+        keys, docs, spares = gathered(batches)
         order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
+        keys, docs, spares = keys[order], docs[order], spares[order]
         starts, ends = runs_of(keys)
         sizes = ends - starts
-        left, right, large_key, large_doc = [], [], [], []
+        left, right = [], []
         for g in range(2, SMALL + 1):
             at = starts[sizes == g]
             for i, j in combinations(range(g), 2):
                 left.append(docs[at + i])
                 right.append(docs[at + j])
-        for a, b in zip(starts[sizes > SMALL], ends[sizes > SMALL], strict=True):
-            left.append(np.full(b - a - 1, docs[a]))
-            right.append(docs[a + 1 : b])
-            large_key.append(keys[a:b])
-            large_doc.append(docs[a:b])
         if left:
             l, r = np.concatenate(left), np.concatenate(right)  # noqa: E741
             l, r = l[l != r], r[l != r]  # noqa: E741
@@ -148,19 +159,19 @@ def _candidates(docs: DataFrame) -> DataFrame:
             l, r = l[order], r[order]  # noqa: E741
             first = np.nonzero(np.append(True, (l[1:] != l[:-1]) | (r[1:] != r[:-1])))[0] if len(l) else np.zeros(0, np.int64)
             n = np.diff(np.append(first, len(l)))
-            yield from _rows(0, l[first], r[first], n)
-        if large_key:
-            k, d = np.concatenate(large_key).astype(np.int64), np.concatenate(large_doc)
-            yield from _rows(1, k, d, np.ones(len(k), np.int64))
+            yield from _rows(0, l[first], r[first], n, n)
+        large = np.repeat(sizes > SMALL, sizes)
+        if large.any():
+            yield from _rows(1, keys[large].astype(np.int64), docs[large], np.repeat(sizes, sizes)[large], spares[large])
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return dealt(rows.mapInArrow(send, SCHEMA)).mapInArrow(meet, "kind int, a long, b long, n long")
+    return dealt(rows.mapInArrow(send, SCHEMA)).mapInArrow(meet, "kind int, a long, b long, n long, spare long")
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray):
-    for at in range(0, len(a), 50_000):
-        end = min(at + 50_000, len(a))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(end - at, kind), pa.int32()), *[pa.array(x[at:end].astype(np.int64)) for x in (a, b, n)]], names=["kind", "a", "b", "n"])
+def _rows(kind: int, *columns: np.ndarray):
+    for at in range(0, len(columns[0]), 50_000):
+        part = [pa.array(c[at : at + 50_000].astype(np.int64)) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind), pa.int32()), *part], names=["kind", "a", "b", "n", "spare"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,8 +180,7 @@ def components(links: DataFrame) -> DataFrame:
     Nodes with many links are met through joins on counts of one row a node, never gathered.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -178,16 +188,34 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == before:
-            break
-        before = now
     stars = edges.groupBy("u").agg(F.min("v").alias("label"))
     return stars.select(F.col("u").alias("node"), "label").unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's elements by their low bits, as words of 64; folding halves onto each other gives the sketch of half as many parts."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
+    odd = (np.bincount((mixed(s ^ np.uint64(0x6A09E667F3BCC909)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 8), axis=1, bitorder="little").reshape(-1).view("<i8").astype(np.int64)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
+def _grown(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and labels with more links, which are written first."""
+    more = written(more, "links")
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more)
+    return links, written(components(links), "labels")
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingles (array of long) for wanted (node, doc_id): the set of the one document that stands for a node."""
+    """node, shingles and sketch (arrays of long) for wanted (node, doc_id): the set of the one document that stands for a node. Rows that repeat the document repeat it, which does links no harm."""
     ids = sized(wanted.select(F.col("doc_id").alias("_id"), "node"))
     joined = docs.selectExpr("cast(doc_id as long) _id", "cast(text as string) text").join(ids, "_id")
 
@@ -195,21 +223,33 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in in_slices(batches, most_bytes=1 << 20):
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
             keep = [set_hash(s) == node for s, node in zip(sets, batch.column(0).to_pylist(), strict=True)]  # an id may stand for several texts
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), pa.array([s.astype(np.int64) for s, k in zip(sets, keep, strict=True) if k], pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [s for s, k in zip(sets, keep, strict=True) if k]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), pa.array([s.astype(np.int64) for s in sets], kind), pa.array([sketch(s) for s in sets], kind)], names=["node", "shingles", "sketch"])
 
-    return joined.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return joined.select("node", "text").mapInArrow(run, "node long, shingles array<long>, sketch array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    # a may be the least of a great many: its pairs are dealt in SALTS parts.
+def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs with x and y, the column of a's and b's sets."""
+    left, right = sets.select(F.col("node").alias("a"), F.col(column).alias("x")), sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    # a may be the least of a great many: then its row goes to SALTS parts.
     hot = pairs.groupBy("a").count().where("count > 64").select("a")
-    few = pairs.join(hot, "a", "left_anti").join(left.where("salt = 0").drop("salt"), "a").join(right, "b")
-    many = pairs.join(hot, "a", "left_semi").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(right, "b").join(left.join(hot, "a", "left_semi"), ["a", "salt"]).select(few.columns)
+    parts = left.join(hot, "a", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).unionByName(left.join(hot, "a", "left_anti").withColumn("salt", F.lit(-1)))
+    salted = pairs.join(hot.withColumn("hot", F.lit(True)), "a", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(-1)).drop("hot")
+    return salted.join(parts, ["a", "salt"]).drop("salt").join(right, "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link: those that sizes (node, size) and sketches allow are compared in full."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(x), F.col("size").alias(f"s{x}")), x)
+    pairs = pairs.where(f"100 * least(sa, sb) >= {SIMILAR} * greatest(sa, sb)")
+    fold = "case when size({0}) > size({1}) then transform(slice({0}, 1, size({1})), (w, i) -> aggregate(sequence(1, cast(size({0}) / size({1}) as int) - 1), w, (t, k) -> t ^ {0}[i + k * size({1})])) else {0} end"
+    apart = f"aggregate(zip_with({fold.format('x', 'y')}, {fold.format('y', 'x')}, (p, q) -> bit_count(p ^ q)), 0, (t, n) -> t + n)"
+    like = written(_met(pairs, sets, "sketch").where(f"{100 + SIMILAR} * {apart} <= {100 - SIMILAR} * (sa + sb)").select("a", "b"), "pairs")
     both = F.size(F.array_intersect("x", "y"))
-    return few.unionByName(many).where(100 * both >= SIMILAR * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return _met(like, sets, "shingles").where(100 * both >= SIMILAR * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,34 +274,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     found = written(_candidates(docs), "candidates")
     of_doc = sets.where("node is not null and doc_id is not null").select("doc_id", "node").distinct()
     a, b = of_doc.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), of_doc.select(F.col("doc_id").alias("b"), F.col("node").alias("nb"))
-    by_node = found.where("kind = 0").join(a, "a").join(b, "b").where("na <> nb").groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("n").alias("n"))
-    small, great = F.least("sa", "sb"), F.greatest("sa", "sb")
-    for x in ("a", "b"):
-        by_node = by_node.join(classes.select(F.col("node").alias(x), F.col("size").alias(f"s{x}")), x)
-    pairs = written(by_node.where(100 * small >= SIMILAR * great).select("a", "b", "n"), "pairs")
-    members = written(found.where("kind = 1").select(F.col("a").alias("key"), "b").join(b, "b").select("key", F.col("nb").alias("node")).distinct(), "members")
-
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct().join(classes, "node").select("node", "doc_id")
+    large = (
+        found.where("kind = 1").select(F.col("a").alias("key"), "b", "n", "spare").join(b, "b").groupBy("key", F.col("nb").alias("node"), (F.col("spare") / 65536).cast("int").alias("band"))
+        .agg(F.max("n").alias("n"), F.max(F.col("spare") % 65536).alias("spare"))
+        .withColumn("turn", F.row_number().over(Window.partitionBy("node", "band").orderBy(F.desc("n"), "key"))).where("turn >= spare").select("key", "node")
+    )
+    members = written(large, "members")
+    stars = members.join(members.groupBy("key").agg(F.min("node").alias("least")), "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), F.lit(1).cast("long").alias("n"))
+    by_doc = found.where("kind = 0").select("a", "b", "n").join(a, "a").join(b, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "n")
+    pairs = written(by_doc.unionByName(stars).groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes, "node").select("node", "doc_id")
     texts = written(_sets_of(docs, written(wanted, "wanted")), "shingles")
 
-    # First each node's likeliest partner, then what is left between components.
-    likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(verified(likely, texts), "links")
+    # First each node's likeliest partner, then what is left between components, then within large groups.
+    likely = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
+    links = written(verified(likely, texts, classes), "links")
     labels = written(components(links), "labels")
     rest = written(_apart(pairs.select("a", "b").join(likely, ["a", "b"], "left_anti"), labels), "pairs")
-    links = written(links.unionByName(verified(rest, texts)), "links")
-    labels = written(components(links), "labels")
-
-    for level in range(1, LEVELS + 1):
-        open_ = written(_several(members, labels, 1 if level == 1 else SMALL), "members")
-        if open_.isEmpty():
-            break
-        members = written(_dealt_anew(open_, texts, level), "members")
-        links = written(links.unionByName(verified(written(_pairs_within(members, labels, SMALL), "pairs"), texts)), "links")
-        labels = written(components(links), "labels")
-    else:  # alike in all schemes and still apart: compared one by one
-        pairs = written(_pairs_within(_several(members, labels, SMALL), labels, None), "pairs")
-        labels = written(components(written(links.unionByName(verified(pairs, texts)), "links")), "labels")
+    links, labels = _grown(links, labels, verified(rest, texts, classes))
+    open_ = _labelled(members, labels).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    open_stars = written(members.join(open_, "key", "left_semi").join(members.groupBy("key").agg(F.min("node").alias("least")), "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    if not open_stars.isEmpty():
+        within = _within_families(written(components(open_stars), "families"), labels, texts, classes)
+        links, labels = _grown(links, labels, verified(written(within, "pairs"), texts, classes))
 
     named = classes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -280,36 +316,39 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
 
 
-def _several(members: DataFrame, labels: DataFrame, more_than: int) -> DataFrame:
-    """The members of groups of more than so many nodes in which several components are left."""
-    named = _labelled(members, labels)
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where(f"x <> y and n > {more_than}").select("key")
-    return named.join(open_, "key", "left_semi").select("key", "node")
-
-
-def _dealt_anew(members: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """key, node: the members of each group by their signatures of another scheme."""
+def _within_families(families: DataFrame, labels: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components within a family (node, label: sets that large groups hold together) whose sizes and sketches allow a link.
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                found = [signatures(np.array(s, np.int64).astype(np.uint64), level).astype(np.int64) for s in rows.column(1).to_pylist()]
-                nodes = np.repeat(np.array(rows.column(0).to_pylist(), np.int64), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(found))], names=["node", "signature"])
-
-    own = sets.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi")
-    return members.join(own.mapInArrow(run, "node long, signature long"), "node").select(F.xxhash64("key", "signature").alias("key"), "node")
-
-
-def _pairs_within(members: DataFrame, labels: DataFrame, small: int | None) -> DataFrame:
-    """Pairs of nodes of different components: all in groups of up to ``small`` nodes (None: in all), in others those with the group's least."""
-    named = _labelled(members, labels)
-    groups = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("least"), F.count("*").alias("n")).where("x <> y").select("key", "least", "n")
-    named = named.join(groups, "key")
-    few = named if small is None else named.where(F.col("n") <= small)
-    left, right = few.select("key", F.col("node").alias("a"), F.col("label").alias("la")), few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "key").where("a < b and la <> lb").select("a", "b")
-    if small is not None:
-        pairs = pairs.unionByName(named.where(F.col("n") > small).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
-    return pairs.distinct()
+    Nodes are put in blocks of like size; a pair of blocks is one group of rows,
+    and it sends only the pairs that pass.
+    """
+    named = families.select("node", F.col("label").alias("family")).join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
+    open_ = named.groupBy("family").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("family")
+    nodes = named.join(open_, "family", "left_semi").join(classes.select("node", "size"), "node").withColumn("class", F.floor(F.log2("size") * CLASSES).cast("int"))
+    many = nodes.groupBy("family", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    nodes = nodes.join(many, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
+    blocks = many.select("family", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    l, r = (blocks.select("family", F.struct("class", "block").alias(x)) for x in ("one", "two"))  # noqa: E741
+    meets = l.join(r, "family").where("one <= two and two.class - one.class <= 2").withColumn("meet", F.xxhash64("family", "one", "two"))
+    side = lambda k, x: F.struct(F.lit(k).alias("side"), F.col(f"{x}.class").alias("class"), F.col(f"{x}.block").alias("block"))
+    own, other = F.array(side(2, "one")), F.array(side(0, "one"), side(1, "two"))
+    sides = meets.select("meet", "family", F.inline(F.when(F.col("one") == F.col("two"), own).otherwise(other)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, node, label, size = (table.column(c).to_numpy() for c in ("side", "node", "label", "size"))
+        sketches = [np.array(x, np.int64) for x in table.column("sketch").to_pylist()]
+        width = min(map(len, sketches))
+        folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in sketches]).view(np.uint64)  # signed numbers' bits are counted by their absolute value
+        left, right = (np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]) if (side < 2).all() else (np.arange(len(side)), np.arange(len(side)))
+        found = []
+        for i in left.tolist():
+            others = right[(label[right] != label[i]) & ((side[right] < 2) | (right > i))]
+            if len(others):
+                apart = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1, dtype=np.int64)
+                others = others[(100 + SIMILAR) * apart <= (100 - SIMILAR) * (size[others] + size[i])]
+                found.append(np.stack([np.minimum(node[others], node[i]), np.maximum(node[others], node[i])]))
+        out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(out[0]), "b": pa.array(out[1])})
+
+    rows = nodes.join(sets.select("node", "sketch"), "node").join(sides, ["family", "class", "block"]).select("meet", "side", "node", "label", "size", "sketch")
+    return rows.groupBy("meet").applyInArrow(compare, "a long, b long").distinct()
