@@ -189,3 +189,25 @@ def longest_paths(edges: DataFrame) -> DataFrame:
         if step >= n:
             raise ValueError("the graph has a cycle")
         best = _kept(best.join(front.withColumn("_l", F.lit(step)), "node", "left").select("node", F.coalesce("_l", "length").alias("length")))
+
+
+def path_counts(edges: DataFrame) -> DataFrame:
+    """node, paths: the number of paths that lead from a node without edges into it to each node of an acyclic graph (1 for such a node itself). A graph with a cycle raises ValueError."""
+    e = _kept(edges.select("src", "dst").distinct())
+    ends = sources_sinks(e)
+    n = ends.count()
+    front = _kept(ends.where("is_source").select("node", F.lit(1).cast("long").alias("paths")))
+    found, step = front, 0
+    while True:
+        step += 1
+        front = _kept(e.join(front.select(F.col("node").alias("src"), "paths"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("paths").alias("paths")))
+        if front.isEmpty():
+            return found.groupBy("node").agg(F.sum("paths").alias("paths"))
+        if step >= n:
+            raise ValueError("the graph has a cycle")
+        found = _kept(found.unionByName(front))
+
+
+def reachable(edges: DataFrame, start: Column, goal: Column) -> DataFrame:
+    """node: the nodes for which ``goal`` holds that some path from a node for which ``start`` holds leads to."""
+    return bfs_levels(edges, start).where(goal).select("node")

@@ -166,3 +166,14 @@ def triple_scores(spark, d):
     """Every (predecessor, node, successor) with the length of both edges together."""
     e = t.part_edges(spark, d)
     return e.select(F.col("src").alias("pred"), F.col("dst").alias("node")).join(e.select(F.col("src").alias("node"), F.col("dst").alias("succ")), "node").select("pred", "node", "succ", (F.col("succ") - F.col("pred")).alias("span"))
+
+
+@query(f"with recursive {PLACES}, r as (select distinct src node from e where src not in (select dst from e) union all select e.dst from r join e on e.src = r.node) select node, count(*) paths from r group by 1")
+def all_paths(spark, d):
+    """Numbers of paths from the sources to each node."""
+    return graphs.path_counts(_places(spark, d))
+
+
+@query(f"with recursive {PLACES}, r as (select distinct src node from e where src % 7 = 3 and src < 1000000000 union select e.dst from r join e on e.src = r.node) select node from r where node >= 1000000000")
+def path_exists(spark, d):
+    return graphs.reachable(_places(spark, d), F.expr("node % 7 = 3 and node < 1000000000"), F.col("node") >= 1000000000)
