@@ -83,18 +83,27 @@ def learn(texts: list[str], toxic: list[int], rounds: int = 300, ridge: float =
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(size, np.float32), float(np.log((p + 1e-3) / (1 - p + 1e-3))))
-    rows = [features(*ngrams(t)) for t in texts]
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n1, n0 = y.sum(), len(y) - y.sum()
-    in_toxic = np.bincount(flat, weights=y[owner], minlength=size)
-    in_all = np.bincount(flat, minlength=size)
+    # Two passes over the texts, so that only chosen features are held.
+    in_toxic, in_all = np.zeros(size, np.float32), np.zeros(size, np.float32)
+    for t, toxic_one in zip(texts, y > 0, strict=True):
+        got = features(*ngrams(t))
+        in_all[got] += 1
+        if toxic_one:
+            in_toxic[got] += 1
     # Shares of a class's texts that have the feature, each count one up.
-    ratio = np.log((in_toxic + 1) / (n1 + 2)) - np.log((in_all - in_toxic + 1) / (n0 + 2))
+    ratio = np.log((in_toxic + 1) / np.float32(n1 + 2)) - np.log((in_all - in_toxic + 1) / np.float32(n0 + 2))
     use = np.nonzero((in_all >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))[0]
-    place = np.full(size, -1, np.int64)
+    place = np.full(size, -1, np.int32)
     place[use] = np.arange(len(use))
-    keep = place[flat] >= 0
-    flat, owner, ratio = place[flat[keep]], owner[keep], ratio[use]
+    ratio = ratio[use].astype(np.float64)
+    del in_toxic, in_all
+    rows = []
+    for t in texts:
+        got = place[features(*ngrams(t))]
+        rows.append(got[got >= 0])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    del place
     value = ratio[flat]
     w, b, vw, vb = np.zeros(len(use)), float(np.log(n1 / n0)), np.zeros(len(use)), 0.0
     step = 4.0 / (np.bincount(owner, weights=value**2, minlength=len(rows)).mean() + 1)
