@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes that separate words.
 BLANK = "\\x20\\x09-\\x0D"
 
+#: glibc's call that returns freed memory, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,6 +72,14 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_gone"]), "left_anti")
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: Python workers stay alive between tasks, and an executor's limit counts what idle ones hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def in_slices(batches, column: str = "text", most_bytes: int = 4 << 20, most_rows: int = 4096):
     """Cut Arrow batches so that a slice's column holds about most_bytes; a longer value is a slice of its own."""
     for batch in batches:
@@ -78,3 +92,5 @@ def in_slices(batches, column: str = "text", most_bytes: int = 4 << 20, most_row
             end = min(max(int(np.searchsorted(upto, before + most_bytes, "right")), start + 1), start + most_rows, n)
             yield batch.slice(start, end - start)
             start = end
+        del batch, sizes, upto
+    give_back()

@@ -2,7 +2,7 @@
 
 A task that makes millions of (key, document) entries sends one row a bucket
 with the entries' columns as bytes, so shuffles move few rows, and the receiving
-side works on arrays. Buckets are many times the shuffle partitions.
+side works on arrays.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
 SCHEMA = "bucket int, keys binary, docs binary, places binary"
-#: Entries that a receiving task holds at once are one partition's; a partition has so many buckets on average.
+#: Buckets for each shuffle partition. A receiving task holds the entries of one bucket.
 BUCKETS = 2
 
 
@@ -66,8 +67,8 @@ def gathered(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def dealt(entries: DataFrame) -> DataFrame:
-    """Rows of SCHEMA, each bucket in one partition."""
-    return entries.repartition(shuffle_width(entries.sparkSession), "bucket")
+    """Rows with their bucket, each bucket in a partition of its own."""
+    return entries.repartitionById(bucket_count(entries.sparkSession), F.col("bucket"))
 
 
 def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_slices, sized, without_ids, written
+from .common import give_back, in_slices, sized, without_ids, written
 from .dealing import SCHEMA, bucket_count, deal, dealt, gathered, mixed, runs_of
 from .shingles import set_hash, shingle_sets
 
@@ -126,7 +126,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     buckets = bucket_count(docs.sparkSession)
 
     def send(batches):
-        for batch in in_slices(batches, most_bytes=16 << 20, most_rows=1 << 16):
+        for batch in in_slices(batches, most_bytes=8 << 20, most_rows=1 << 16):
             keys, owners, spares, seen = [], [], [], set()
             for part in in_slices([batch], most_bytes=1 << 20):
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets([t or "" for t in part.column(1).to_pylist()]), strict=True):
@@ -163,6 +163,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
         large = np.repeat(sizes > SMALL, sizes)
         if large.any():
             yield from _rows(1, keys[large].astype(np.int64), docs[large], np.repeat(sizes, sizes)[large], spares[large])
+        del keys, docs, spares, order, left, right, large
+        give_back()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return dealt(rows.mapInArrow(send, SCHEMA)).mapInArrow(meet, "kind int, a long, b long, n long, spare long")
@@ -266,8 +268,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Words are runs of non-blank bytes with A-Z lower-cased. A text of fewer than
     five words has one shingle; a null text or one without words has none and
     links with nothing. Repeated rows give rows each, and an id that stands for several
-    texts links them by no more than its number. A null doc_id has its
-    component's id, or null where it is alone. Columns other than doc_id and text are left out.
+    texts links them by no more than its number. A row without an id joins the
+    component of a row with an equal set, and no other; alone it has null. Columns other than doc_id and text are left out.
     """
     sets = written(document_sets(docs), "sets")
     classes = written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")), "classes")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import give_back, in_slices
 from .dealing import bucket_count, dealt, from_planes, mixed, planes, runs_of, runs_of_two
 
 #: Bytes of a match, and of the strings whose hashes are window keys.
@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
     rows = docs.selectExpr(f"cast(coalesce(pmod(cast(doc_id as long), {buckets}), 0) as int) bucket", "cast(doc_id as long) doc_id", "cast(text as string) text", *[f"`{c}`" for c in carry])
 
     def send(batches):
-        for batch in in_slices(batches, most_bytes=16 << 20, most_rows=1 << 16):
+        for batch in in_slices(batches, most_bytes=8 << 20, most_rows=1 << 16):
             keys, owners, turns = [], [], []
             for part in in_slices([batch], most_bytes=1 << 20):
                 ids = part.column(1).to_pylist()
@@ -488,6 +488,8 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
         docs_, places, checks = (np.concatenate(x) for x in zip(*found, strict=True))
         if len(docs_):
             yield _batch(_to_documents(SPAN, docs_, places, checks, buckets))
+        del key, doc, place, check, size, blob, hashed, order, strings, found
+        give_back()
 
     def keep(texts: pa.Table, found: pa.Table) -> pa.Table:
         c = _columns(found)
