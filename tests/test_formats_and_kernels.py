@@ -141,3 +141,13 @@ def test_fold(spark):
     df = spark.createDataFrame([(1, 1, 100.0, 5), (1, 2, 100.05, 9), (1, 3, 106.1, 1), (1, 4, 300.0, 2)], "g long, k long, m double, s long")
     got = kernels.unique_fold(df, "g", ["k"], "m", "s", 0.1, 6.03766).orderBy("k").collect()
     assert [(r.k, r.n) for r in got] == [(2, 3), (4, 1)]
+
+
+def test_spectrum_paths_are_all_there(spark):
+    peaks = [(7, 10.0 * k, 1000.0 if k == 5 else 1.0) for k in range(1, 10)]
+    mass = np.array([0.0, *[m for _, m, _ in peaks], 100.0])
+    score = np.array([0.0, *[i for _, _, i in peaks], 0.0])
+    every = [score[p].sum() for p in all_paths(mass, 1.0, 200.0)]
+    want = sorted(s for s in every if s >= 0.9 * max(every))
+    got = kernels.spectrum_paths(spark.createDataFrame(peaks, "scan long, mz double, intensity double"), 1.0, 200.0, 0.9, 0.5).where("kind = 'near'").collect()
+    assert len(want) == 256 and sorted(r.score for r in got) == want and {r.path_no for r in got} == set(range(256))
