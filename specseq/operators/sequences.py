@@ -51,13 +51,19 @@ def chunks(rows: DataFrame, key: str, sequence: str, stops: str, size: int, over
     return cut.select(key, "part", "chunk_no", F.substring(F.col("s"), F.col("chunk_no") * step + 1, F.lit(size)).alias("chunk")).where(F.length("chunk") >= least)
 
 
-def residue_strings(residues: DataFrame, most_mass: float, most_length: int) -> DataFrame:
-    """seq, mass: all strings of residues (sym, mono) of up to most_length letters and less than most_mass."""
-    found = level = residues.where(F.col("mono") < most_mass).select(F.col("sym").alias("seq"), F.col("mono").alias("mass"))
-    for _ in range(most_length - 1):
-        level = level.crossJoin(F.broadcast(residues)).where(F.col("mass") + F.col("mono") < most_mass).select(F.concat("seq", "sym").alias("seq"), (F.col("mass") + F.col("mono")).alias("mass"))  # 19 residues
-        found = found.unionByName(level)
-    return found
+def residue_strings(residues: DataFrame, most_mass: float, most_length: int | None = None) -> DataFrame:
+    """seq, mass: all strings of residues (sym, mono) of less than most_mass, and of up to most_length letters if it is given."""
+    least = residues.agg(F.min("mono")).first()[0]
+    if least is not None and least <= 0:
+        raise ValueError("masses must be positive")
+    rounds = int(most_mass // least) if least is not None else 0  # no longer string is under the mass
+    everyone = residues.agg(F.collect_list(F.struct("sym", "mono")).alias("_all"))  # one row
+    rows = residues.where(F.col("mono") < most_mass).select(F.col("sym").alias("seq"), F.col("mono").alias("mass"), F.lit(True).alias("_new")).crossJoin(F.broadcast(everyone))
+    for _ in range((rounds if most_length is None else min(rounds, most_length)) - 1):
+        light = F.filter("_all", lambda x: F.col("_new") & (F.col("mass") + x["mono"] < most_mass))
+        longer = F.transform(light, lambda x: F.struct(F.concat("seq", x["sym"]).alias("seq"), (F.col("mass") + x["mono"]).alias("mass"), F.lit(True).alias("_new")))
+        rows = rows.select("_all", F.inline(F.concat(F.array(F.struct("seq", "mass", F.lit(False).alias("_new"))), longer)))
+    return rows.select("seq", "mass")
 
 
 def mass_lookup(rows: DataFrame, mass: str, strings: DataFrame, tolerance: float) -> DataFrame:

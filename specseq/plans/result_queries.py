@@ -275,6 +275,22 @@ def mass_index_lookup(spark, d):
     return sequences.mass_lookup(t.table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", strings, 0.5).withColumn("seq_mass", F.round("seq_mass", 5))
 
 
+@query(f"""with recursive {SEQ}, {MASS}, {LETTERS}, u as (select distinct sym, mono from l join m using (sym)),
+st as (select sym seq, mono mass from u where mono < 250 union all select st.seq || u.sym, st.mass + u.mono from st, u where st.mass + u.mono < 250) select seq, round(mass, 5) mass from st""")
+def residue_strings_whole(spark, d):
+    """All strings of the residues that occur in part names, under 250 Da, of any length."""
+    used = _sequences(spark, d).select(F.explode(r.letters(F.col("seq"))).alias("sym")).distinct().join(F.broadcast(r.residue_table(spark)), "sym")
+    return sequences.residue_strings(used, 250.0).withColumn("mass", F.round("mass", 5))
+
+
+@query(f"""with recursive {MASS}, st as (select sym seq, mono mass from m where mono < 400 union all select st.seq || m.sym, st.mass + m.mono from st, m where st.mass + m.mono < 400)
+select c_custkey, c_acctbal, seq, round(mass, 5) seq_mass from customer join st on abs(c_acctbal - mass) < 0.5""")
+def mass_index_lookup_whole(spark, d):
+    """Customers with each residue string of any length under 400 Da within 0.5 of the balance."""
+    strings = sequences.residue_strings(r.residue_table(spark), 400.0)
+    return sequences.mass_lookup(t.table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", strings, 0.5).withColumn("seq_mass", F.round("seq_mass", 5))
+
+
 EDGES = "g as (select a.s_suppkey src, b.s_suppkey dst, b.s_acctbal - a.s_acctbal gap from supplier a join supplier b on b.s_acctbal - a.s_acctbal > 50 and b.s_acctbal - a.s_acctbal < 300)"
 
 

@@ -78,6 +78,17 @@ def test_runs_and_pairs(spark):
     assert rows(sequences.consecutive_pairs(near, "g", ["i"], "v", 0.5)) == [(1, 0, 1), (1, 2, 3)]
 
 
+def test_residue_strings_of_any_length(spark):
+    want, level = {}, {"": 0.0}
+    while level:
+        level = {s + c: m + x for s, m in level.items() for c, x in residues.RESIDUES.items() if m + x < 400}
+        want |= level
+    got = dict(rows(sequences.residue_strings(residues.residue_table(spark), 400.0)))
+    assert len(want) == 23956 and max(map(len, want)) == 7 and got == pytest.approx(want)
+    assert len(rows(sequences.residue_strings(residues.residue_table(spark), 400.0, 2))) == 380
+    assert rows(sequences.residue_strings(residues.residue_table(spark).limit(0), 400.0)) == []
+
+
 def test_small_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (8, 9), (8, 9)], "src long, dst long")
     assert rows(graphs.triangles(e)) == [(1, 1), (2, 1), (3, 1)]
