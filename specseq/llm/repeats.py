@@ -14,8 +14,10 @@ with a smaller id. The corpus is not indexed in one piece:
    patterns, and marks every window whose class has an earlier document.
 4. The marked spans meet the texts again by document.
 
-A key that very many different stretches share is dealt again by the hash of each window,
-so no group grows with the corpus.
+A key of more than HOT_STRETCHES stretches, copies included, is hot: the tasks that count it in step 1
+name it to all tasks that cut, and these deal the windows of its stretches by the windows' hashes
+instead, once for the least document of each. So a group of step 3 has a bound, and a window's
+group has the entries of one document from each cutting task.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ MATCH, SEED = 50, 20
 STRETCH = 1024
 #: Bytes of stretches in one index.
 INDEX_BYTES = 1 << 20
+#: Stretches of a key that still meet in one task.
+HOT_STRETCHES = 1 << 14
 
 
 def words_at(a: np.ndarray) -> np.ndarray:
@@ -273,8 +277,10 @@ def text_check(data: bytes) -> int:
 
 
 CUT_SCHEMA = "bucket int, kind int, keys binary, docs binary, places binary, checks binary, sizes binary, strings binary"
-#: kinds: an entry of a key; a stretch that others may share; a stretch to index; a span to remove.
-ENTRY, SHARED, STRING, SPAN = 0, 1, 2, 3
+#: kinds: an entry of a key; a stretch that others may share; a stretch to index; a span to remove; hot keys; windows of hot keys.
+ENTRY, SHARED, STRING, SPAN, HOT, WINDOW = 0, 1, 2, 3, 4, 5
+#: The place of an entry for several documents is this and its number of stretches.
+SEVERAL = 1 << 31
 ENTRY_BITS = np.uint64((1 << 48) - 1)
 
 
@@ -324,7 +330,25 @@ def _span(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return start * (2 * STRETCH) + windows
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] = ()) -> DataFrame:
+def windows_of(strings: list[bytes], match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """String number, window number and hash of each window of the strings."""
+    sizes = np.array([len(s) for s in strings], np.int64)
+    counts = sizes - match + 1
+    owner = np.repeat(np.arange(len(strings)), counts)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return owner, window, string_hashes(words_at(np.frombuffer(b"".join(strings), np.uint8)), (np.cumsum(sizes) - sizes)[owner] + window, np.full(len(owner), match))
+
+
+def not_least(hashed: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which entries have a hash that a lesser document has too."""
+    order = np.lexsort((docs, hashed))
+    starts, ends = runs_of(hashed[order])
+    later = np.zeros(len(docs), bool)
+    later[order] = docs[order] != np.repeat(docs[order][starts], ends - starts)
+    return later
+
+
+def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] = (), hot_stretches: int = HOT_STRETCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns named in carry of each row of docs.
 
     Texts are their UTF-8 bytes, whole; a null text is empty. Strings are judged
@@ -352,10 +376,10 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
             key, doc, turn = key[order], doc[order], turn[order]
             starts, ends = runs_of(key)
             common = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-            # A key of several documents here is known to be shared; the others need one entry, with place 0.
+            # A key of several documents here is known to be shared; the others need one entry, with the number of stretches.
             own = np.repeat(~common, ends - starts)
             out = _to_documents(SHARED, doc[~own], turn[~own], None, buckets) if not own.all() else []
-            key, doc, turn = np.concatenate([key[own], key[starts[common]]]), np.concatenate([doc[own], doc[starts[common]]]), np.concatenate([turn[own], np.zeros(int(common.sum()), np.int64)])
+            key, doc, turn = np.concatenate([key[own], key[starts[common]]]), np.concatenate([doc[own], doc[starts[common]]]), np.concatenate([turn[own], SEVERAL + (ends - starts)[common]])
             order = np.lexsort((turn, doc))
             key, doc, turn = key[order], doc[order], turn[order]
             out += [_row(b, ENTRY, key[at], doc[at], turn[at]) for b, at in _by_bucket((mixed(key) % np.uint64(buckets)).astype(np.int64))]
@@ -379,13 +403,19 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
         order = np.argsort(key)
         starts, ends = runs_of(key[order])
         d, t = doc[order], turn[order]
-        shared = np.repeat((np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) | (np.minimum.reduceat(t, starts) == 0), ends - starts) & (t > 0)
-        yield _batch(_to_documents(SHARED, d[shared], t[shared], None, buckets))
+        met = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) | (np.maximum.reduceat(t, starts) >= SEVERAL)
+        shared = np.repeat(met, ends - starts) & (t < SEVERAL)
+        hot = key[order][starts][met & (np.add.reduceat(np.where(t < SEVERAL, 1, t - SEVERAL), starts) > hot_stretches)]
+        none = np.zeros(0, np.int64)
+        yield _batch(_to_documents(SHARED, d[shared], t[shared], None, buckets) + [_row(b, HOT, hot, none, none) for b in range(buckets) if len(hot)])
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         c = _columns(found)
         turns: dict[int, list[np.ndarray]] = {}
-        for d, p in zip(c["docs"], c["places"], strict=True):
+        hot = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(k, "<u8") for kind, k in zip(c["kind"], c["keys"], strict=True) if kind == HOT]])
+        for kind, d, p in zip(c["kind"], c["docs"], c["places"], strict=True):
+            if kind == HOT:
+                continue
             d, p = np.cumsum(from_planes(d)), from_planes(p) - 1
             starts, ends = runs_of(d)
             for a, b in zip(starts, ends, strict=True):
@@ -422,13 +452,39 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
         out = _to_documents(SPAN, doc[later], place[later], check[later], buckets)
         own = order[doc[order] == least]
         own = own[np.lexsort((place[own], doc[own]))]
+        if len(hot):
+            by_window = np.isin(key[own] & ENTRY_BITS, hot)
+            out += deal_windows(own[by_window], strings, doc, place, check)
+            own = own[~by_window]
         for b, at_ in _by_bucket((mixed(key[own]) % np.uint64(buckets)).astype(np.int64)):
             at_ = own[at_]
             out.append(_row(b, STRING, key[at_], doc[at_], place[at_], check[at_], size[at_], b"".join([strings[i] for i in at_.tolist()])))
         return pa.Table.from_batches([_batch(out)])
 
+    def deal_windows(rows: np.ndarray, strings: list[bytes], doc: np.ndarray, place: np.ndarray, check: np.ndarray) -> list[tuple]:
+        """Rows for the windows of the strings with these numbers: to their hash's bucket for the least document here, to be removed for the others."""
+        parts = []
+        for a in range(0, len(rows), 1 << 12):
+            some = rows[a : a + (1 << 12)]
+            owner, window, hashed = windows_of([strings[i] for i in some.tolist()], match)
+            parts.append((some[owner].astype(np.int32), window.astype(np.int16), hashed))
+        if not parts:
+            return []
+        owner, window, hashed = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        later = not_least(hashed, doc[owner])
+        # Windows side by side in a stretch go as one span.
+        o, w = owner[later], window[later]
+        cut = np.nonzero(np.append(True, (o[1:] != o[:-1]) | (w[1:] != w[:-1] + 1)))[0][: len(o)]
+        out = _to_documents(SPAN, doc[o[cut]], _span(place[o[cut]] // (2 * STRETCH) + w[cut], np.diff(np.append(cut, len(o)))), check[o[cut]], buckets)
+        owner, window, hashed = owner[~later], window[~later], hashed[~later]
+        for b, at in _by_bucket((mixed(hashed) % np.uint64(buckets)).astype(np.int64)):
+            o = owner[at]
+            out.append(_row(b, WINDOW, hashed[at], doc[o], place[o] // (2 * STRETCH) + window[at], check[o]))
+        return out
+
     def index(batches):
-        columns, blobs = [], []
+        columns, blobs, windows = [], [], []
         for batch in batches:
             spans = batch.filter(pa.array(np.array(batch.column(1).to_pylist()) == SPAN))
             if spans.num_rows:
@@ -439,6 +495,14 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
                     size = from_planes(z)
                     columns.append((np.frombuffer(k, "<u8"), np.cumsum(from_planes(d)), from_planes(p), np.frombuffer(h, "<u4").astype(np.int64), size))
                     blobs.append(pa.decompress(s, int(size.sum()), "zstd", asbytes=True))
+                elif kind == WINDOW:
+                    windows.append((np.frombuffer(k, "<u8"), np.cumsum(from_planes(d)), from_planes(p), np.frombuffer(h, "<u4")))
+        if windows:
+            hashed, doc, place, check = (np.concatenate(x) for x in zip(*windows, strict=True))
+            later = not_least(hashed, doc)
+            if later.any():
+                yield _batch(_to_documents(SPAN, doc[later], _span(place[later], np.ones(int(later.sum()), np.int64)), check[later], buckets))
+            del windows, hashed, doc, place, check, later
         if not columns:
             return
         key, doc, place, check, size = (np.concatenate(c) for c in zip(*columns, strict=True))

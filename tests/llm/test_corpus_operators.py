@@ -95,6 +95,32 @@ def test_repeats(spark, match):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute_repeats(rows, match)
 
 
+@pytest.mark.parametrize("hot", [0, 5])
+def test_repeats_of_hot_keys(spark, hot):
+    rows = some_texts() + EDGE
+    got = repeats.remove_repeats(documents(spark, rows).repartition(5), 50, hot_stretches=hot).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute_repeats(rows, 50)
+
+
+def test_hot_key_spreads_over_tasks(spark, monkeypatch):
+    """A phrase with the least hash of its windows among different words: its stretches don't meet in one task."""
+    rng = random.Random(4)
+    word = lambda: bytes(rng.choice(b"abcdefghij") for _ in range(60))
+    least = lambda b: repeats.window_keys(repeats.words_at(np.frombuffer(b, np.uint8)), len(b), 20, 20)[0]
+    phrase = min((word()[:20] for _ in range(20000)), key=least)
+    texts = [(word() + phrase + word()).decode() for _ in range(400)]
+    texts += [texts[0][5:-5], texts[7][:100]]
+    seen = []
+    real = repeats.dealt
+    monkeypatch.setattr(repeats, "dealt", lambda df: seen.append(df) or real(df))
+    got = repeats.remove_repeats(documents(spark, list(enumerate(texts))), 50, hot_stretches=100).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute_repeats(list(enumerate(texts)), 50)
+    sent = Counter()
+    for r in seen[1].where(f"kind in ({repeats.STRING}, {repeats.WINDOW})").collect():
+        sent[r.bucket] += len(r.keys) // 8
+    assert len(sent) == repeats.bucket_count(spark) and max(sent.values()) < 2 * sum(sent.values()) / len(sent)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(documents(spark, some_texts()).limit(0)).count() == 0
     cut = repeats.without_repeats(documents(spark, some_texts()))
