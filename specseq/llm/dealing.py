@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from .common import shuffle_width
 
 SCHEMA = "bucket int, keys binary, docs binary, places binary"
-#: Buckets for each shuffle partition. A receiving task holds the entries of one bucket.
-BUCKETS = 2
+#: Buckets for each shuffle partition at least, and bytes of texts for which there is one at least. A receiving task holds the entries of one bucket.
+BUCKETS, BUCKET_BYTES = 2, 16 << 20
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return BUCKETS * shuffle_width(spark)
+def bucket_count(spark: SparkSession, text_bytes: int = 0) -> int:
+    return BUCKETS * max(shuffle_width(spark), -(-text_bytes // (BUCKETS * BUCKET_BYTES)))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -66,9 +66,9 @@ def gathered(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
 
 
-def dealt(entries: DataFrame) -> DataFrame:
+def dealt(entries: DataFrame, buckets: int) -> DataFrame:
     """Rows with their bucket, each bucket in a partition of its own."""
-    return entries.repartitionById(bucket_count(entries.sparkSession), F.col("bucket"))
+    return entries.repartitionById(buckets, F.col("bucket"))
 
 
 def runs_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -49,6 +49,8 @@ SUBSETS = list(combinations(range(N2), N2 - K2))
 #: Groups of so many members are compared all with all.
 SMALL = 6
 SALTS = 16
+#: Bytes of text that a shingle stands for, about.
+SHINGLE_BYTES = 6
 #: Nodes in a block, and classes of size in a doubling: linked sets are at most two classes apart.
 BLOCK, CLASSES = 512, 6
 
@@ -121,9 +123,9 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
-    """kind, a, b, n, spare: pairs of documents with n common signatures (kind 0), and members b of large groups a of n documents (kind 1)."""
-    buckets = bucket_count(docs.sparkSession)
+def _candidates(docs: DataFrame, shingles: int) -> DataFrame:
+    """kind, a, b, n, spare: pairs of documents with n common signatures (kind 0), and members b of large groups a of n documents (kind 1). ``shingles`` of all documents set the number of buckets."""
+    buckets = bucket_count(docs.sparkSession, SHINGLE_BYTES * shingles)
 
     def send(batches):
         for batch in in_slices(batches, most_bytes=8 << 20, most_rows=1 << 16):
@@ -167,7 +169,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
         give_back()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return dealt(rows.mapInArrow(send, SCHEMA)).mapInArrow(meet, "kind int, a long, b long, n long, spare long")
+    return dealt(rows.mapInArrow(send, SCHEMA), buckets).mapInArrow(meet, "kind int, a long, b long, n long, spare long")
 
 
 def _rows(kind: int, *columns: np.ndarray):
@@ -273,7 +275,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     sets = written(document_sets(docs), "sets")
     classes = written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size")), "classes")
-    found = written(_candidates(docs), "candidates")
+    found = written(_candidates(docs, sets.agg(F.sum("n_shingles")).first()[0] or 0), "candidates")
     of_doc = sets.where("node is not null and doc_id is not null").select("doc_id", "node").distinct()
     a, b = of_doc.select(F.col("doc_id").alias("a"), F.col("node").alias("na")), of_doc.select(F.col("doc_id").alias("b"), F.col("node").alias("nb"))
     large = (

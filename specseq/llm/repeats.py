@@ -7,11 +7,13 @@ with a smaller id. The corpus is not indexed in one piece:
    it. Equal windows have equal keys, and consecutive windows with one key form a
    stretch. Keys alone are dealt first; those in one document only have no match.
 2. Stretches whose key other documents have too are cut out with all bytes of
-   their windows, and dealt by key. Equal stretches of a batch are sent once,
-   for the least document; the others' windows all have a match.
+   their windows, and dealt by key. Equal stretches are told by their hashes and
+   go once, for the least document; the others' windows all have a match.
 3. Each receiving task builds run-length Burrows-Wheeler indexes over its distinct
-   stretches, with samples at the starts of runs, streams the stretches through as
-   patterns, and marks every window whose class has an earlier document.
+   stretches, with samples at the starts and ends of runs, streams the stretches through
+   as patterns, and marks every window whose matching statistic reaches MATCH in
+   a class of rows that has an earlier document. So the index finds all matches but
+   those of whole stretches, and those of the hot keys below.
 4. The marked spans meet the texts again by document.
 
 A key of more than HOT_STRETCHES stretches, copies included, is hot: the tasks that count it in step 1
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, in_slices
-from .dealing import bucket_count, dealt, from_planes, mixed, planes, runs_of, runs_of_two
+from .dealing import BUCKETS, bucket_count, dealt, from_planes, mixed, planes, runs_of, runs_of_two
 
 #: Bytes of a match, and of the strings whose hashes are window keys.
 MATCH, SEED = 50, 20
@@ -39,7 +41,7 @@ STRETCH = 1024
 #: Bytes of stretches in one index.
 INDEX_BYTES = 1 << 20
 #: Stretches of a key that still meet in one task.
-HOT_STRETCHES = 1 << 14
+HOT_STRETCHES = 1 << 13
 
 
 def words_at(a: np.ndarray) -> np.ndarray:
@@ -110,165 +112,167 @@ def stretches(raw: list[bytes], match: int = MATCH) -> tuple[np.ndarray, np.ndar
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler index of strings, for patterns of up to ``depth`` bytes.
+    """A run-compressed Burrows-Wheeler transform of strings, with the text places of its runs' starts and ends as samples.
 
-    Suffixes are sorted by their first ``depth`` bytes, then by the strings' ranks;
-    backward search needs no more. Runs also end where the first ``depth`` bytes
-    change, and the start of each run is sampled with its string's rank, so the
-    first run of a class of equal patterns holds the least string that has it.
+    Suffixes are sorted whole, equal ones in the order of the strings. Rows that agree
+    in their first ``match`` bytes form a class; its first row is kept with the least
+    rank of a string that has those bytes.
     """
 
-    def __init__(self, strings: list[bytes], depth: int):
-        """strings in the order of their ranks."""
-        self.depth = depth
+    def __init__(self, strings: list[bytes], ranks: np.ndarray, match: int):
         sizes = np.array([len(s) + 1 for s in strings], np.int64)
-        # Symbols are bytes + 1; 0 ends a string.
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+        raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
         ends = np.cumsum(sizes) - 1
+        # Symbols are bytes + 1; 0 ends a string.
+        text = raw.astype(np.int16) + np.int16(1)
         text[ends] = 0
-        n = len(text)
-        self.text, self.starts = text, ends - sizes + 1
-        rank, shorter = self._ranks(text, ends, depth)
-        # Equal prefixes stay in the order of positions, which is that of the strings.
-        order = np.argsort(rank, kind="stable")
+        self.match, self.n, self.words = match, len(text), words_at(raw)
+        self.left = (np.repeat(ends, sizes) - np.arange(self.n)).astype(np.int32)  # bytes up to the string's end
+        order, self.class_start = self._sorted_suffixes(text, self.left, match)
+        owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+        self.class_rank = np.minimum.reduceat(ranks[owner[order]], self.class_start)
         before = text[order - 1]
-        before[order == 0] = 0
-        sorted_rank = rank[order]
-        self.new_class = np.append(True, sorted_rank[1:] != sorted_rank[:-1])
-        cut = self.new_class.copy()
-        cut[1:] |= before[1:] != before[:-1]
+        cut = np.append(True, before[1:] != before[:-1])
         self.run_start = np.nonzero(cut)[0]
-        self.run_symbol = before[self.run_start]
-        run_length = np.diff(np.append(self.run_start, n))
-        owner = np.repeat(np.arange(len(strings)), sizes)
-        self.run_sample = owner[order[self.run_start]]
-        # Runs of each symbol together: occurrences before a run, and look-up by (symbol, place).
-        self.n = n
+        run_end = np.append(self.run_start[1:], self.n) - 1
+        self.run_symbol = before[self.run_start].astype(np.int64)
+        self.sample_start, self.sample_end = order[self.run_start].astype(np.int64), order[run_end].astype(np.int64)
+        # Where the rows before the run's symbol at its start lead: the place of that symbol among all, in sorted order.
+        length = run_end - self.run_start + 1
         by_symbol = np.argsort(self.run_symbol, kind="stable")
-        self.look = self.run_symbol[by_symbol] * (n + 1) + self.run_start[by_symbol]
-        length = run_length[by_symbol]
-        upto = np.cumsum(length) - length
-        symbol = self.run_symbol[by_symbol]
-        first = np.searchsorted(symbol, np.arange(258))
-        total = np.append(upto, n)
-        self.before_run = upto - total[np.minimum(first[symbol], len(upto))]
-        self.run_length = length
-        counts = np.bincount(text, minlength=258)
-        self.smaller = np.cumsum(counts) - counts
-        self.symbol_first = first
-        # Starts of the classes of depth - 1 bytes: where dropping a pattern's last byte leads.
-        shorter = shorter[order]
-        self.short_start = np.nonzero(np.append(True, shorter[1:] != shorter[:-1]))[0]
+        self.leads = np.empty(len(length), np.int64)
+        self.leads[by_symbol] = np.cumsum(length[by_symbol]) - length[by_symbol]
+        self.look = self.run_symbol[by_symbol] * len(length) + by_symbol  # runs by symbol, then place
+        self.by_symbol = by_symbol
 
     @staticmethod
-    def _ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of all suffixes by their first ``depth`` and ``depth - 1`` symbols, by doubling; a string's end sorts first and nothing follows it."""
-        n = len(text)
-        stop = np.repeat(ends, np.diff(np.append(-1, ends))) + 1  # one past each position's string
-
-        def longer(rank: np.ndarray, step: int) -> np.ndarray:
-            at = np.arange(n) + step
-            follow = np.where(at < stop, rank[np.minimum(at, n - 1)] + 1, 0)
-            both = rank * (int(follow.max()) + 1) + follow
-            order = np.argsort(both)
-            ordered = both[order]
-            out = np.empty(n, np.int64)
-            out[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
-            return out
-
-        rank, width = text, 1
-        while width * 2 < depth:
-            rank, width = longer(rank, width), width * 2
-        short = longer(rank, depth - 1 - width) if depth - 1 > width else rank if depth > 1 else np.zeros(n, np.int64)
-        return (longer(rank, depth - width) if depth > width else rank), short
-
-    def occurrences(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """How often each symbol stands in the transform before each place."""
-        at = np.searchsorted(self.look, symbol * (self.n + 1) + place, "left") - 1
-        safe = np.maximum(at, 0)
-        ok = (at >= 0) & (at >= self.symbol_first[symbol])
-        inside = np.minimum(place - (self.look[safe] - symbol * (self.n + 1)), self.run_length[safe])
-        return np.where(ok, self.before_run[safe] + inside, 0)
-
-    def least_strings(self, patterns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Stream indexed strings backwards, all at once: for each position of patterns (a matrix of symbols, padded at the left) the least string that has the ``depth`` symbols from there, or -1 where fewer follow.
-
-        Patterns are strings of the index, so their matching statistics never fall
-        under what is left of them up to ``depth``; the range's start is all that is needed to name its class.
+    def _sorted_suffixes(text: np.ndarray, left: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all suffixes in order, and the first row of each class of rows that agree in ``match`` symbols, by doubling."""
+        n, width = len(text), min(7, match)
+        padded = np.append(text, np.zeros(width, text.dtype))
+        packed = np.zeros(n, np.int64)
+        for o in range(width):
+            packed = (packed << 9) | np.where(left >= o, padded[o : o + n], 0)
+        order = np.argsort(packed, kind="stable").astype(np.int32)
+        packed = packed[order]
+        head = np.append(True, packed[1:] != packed[:-1])
+        del packed, padded
+        # A suffix's rank is the first row of those that agree with it so far.
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        longest, classes = int(left.max()) + 1, None
+        while True:
+            if width == match:
+                classes = np.nonzero(head)[0]
+            tied = np.nonzero(~(head & np.append(head[1:], True)))[0]
+            if width >= max(longest, match) or (not len(tied) and classes is not None):
+                break
+            step = match - width if width < match < 2 * width else width
+            rows = order[tied]
+            follow = np.where(left[rows] >= step, rank[np.minimum(rows + np.int64(step), n - 1)] + np.int64(1), 0)
+            both = rank[rows] * np.int64(n + 1) + follow
+            turn = np.argsort(both, kind="stable")
+            both = both[turn]
+            order[tied] = rows[turn]
+            new = np.append(True, both[1:] != both[:-1]) if len(both) else np.zeros(0, bool)
+            head[tied] |= new
+            rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, 0))
+            width += step
+        if len(tied):  # equal to their ends: in the order of their strings
+            rows = order[tied]
+            order[tied] = rows[np.lexsort((rows, rank[rows]))]
+        return order, classes
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes in which the suffixes at two places agree, up to ``match``."""
+        most = np.minimum(np.minimum(self.left[a], self.left[b]), self.match)
+        found = np.zeros(len(a), np.int64)
+        rows = np.arange(len(a))
+        for at in range(0, self.match, 8):
+            apart = self.words[a[rows] + at] ^ self.words[b[rows] + at]
+            same = (apart == 0).astype(np.int64)
+            for k in range(1, 8):
+                same += apart & np.uint64((1 << (8 * k)) - 1) == 0
+            found[rows] += same
+            rows = rows[(apart == 0) & (most[rows] > at + 8)]
+            if not len(rows):
+                break
+        return np.minimum(found, most)
+
+    def matching(self, patterns: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stream strings backwards, all at once: for each place of patterns (a matrix of symbols, padded at the left) its matching statistic,
+        the length up to ``match`` of the longest string from there on that the index has, and the least rank that has it where ``match`` is reached (else -1).
+
+        A state is a row that agrees with what was read in that length. If the row isn't preceded by the next symbol,
+        the nearest rows before and after it that are end and start runs of the symbol; the one that agrees with the row in more bytes goes on.
         """
         m, wide = patterns.shape
-        found = np.full((m, wide), -1, np.int64)
-        start = np.zeros(m, np.int64)
+        length, found = np.zeros((m, wide), np.int16), np.full((m, wide), -1, np.int64)
+        row, place, size = np.zeros(m, np.int64), np.full(m, self.sample_start[0]), np.zeros(m, np.int64)
+        runs = len(self.run_start)
         for back in range(wide):
             col = wide - 1 - back
-            rows = np.nonzero(sizes > back)[0]
-            if not len(rows):
-                break
-            s = start[rows]
-            if back >= self.depth:  # drop the last byte: to the start of the class of depth - 1
-                s = self.short_start[np.searchsorted(self.short_start, s, "right") - 1]
-            symbol = patterns[rows, col]
-            s = self.smaller[symbol] + self.occurrences(symbol, s)
-            start[rows] = s
-            if back + 1 >= self.depth:
-                run = np.searchsorted(self.run_start, s, "right") - 1
-                found[rows, col] = self.run_sample[run]
-        return found
+            live = np.nonzero(sizes > back)[0]
+            symbol = patterns[live, col].astype(np.int64)
+            q, p, l = row[live], place[live], size[live]  # noqa: E741
+            run = np.searchsorted(self.run_start, q, "right") - 1
+            miss = np.nonzero(self.run_symbol[run] != symbol)[0]
+            if len(miss):
+                c, at = symbol[miss], np.searchsorted(self.look, symbol[miss] * runs + run[miss])
+                low, high = self.by_symbol[np.maximum(at - 1, 0)], self.by_symbol[np.minimum(at, runs - 1)]
+                below, above = (at > 0) & (self.run_symbol[low] == c), (at < runs) & (self.run_symbol[high] == c)
+                p_low, p_high = self.sample_end[low], self.sample_start[high]
+                n_low, n_high = np.where(below, self._common(p[miss], p_low), -1), np.where(above, self._common(p[miss], p_high), -1)
+                up = n_high > n_low
+                run[miss] = np.where(up, high, low)
+                q[miss] = np.where(up, self.run_start[high], self.run_start[low] + self._length(low) - 1)
+                p[miss] = np.where(up, p_high, p_low)
+                l[miss] = np.minimum(l[miss], np.maximum(n_low, n_high))
+            q = self.leads[run] + q - self.run_start[run]
+            p, l = p - 1, np.minimum(l + 1, self.match)  # noqa: E741
+            nowhere = l == 0  # the index doesn't have the symbol
+            q[nowhere], p[nowhere] = 0, self.sample_start[0]
+            row[live], place[live], size[live], length[live, col] = q, p, l, l
+            whole = np.nonzero(l == self.match)[0]
+            found[live[whole], col] = self.class_rank[np.searchsorted(self.class_start, q[whole], "right") - 1]
+        return length, found
+
+    def _length(self, run: np.ndarray) -> np.ndarray:
+        return np.append(self.run_start, self.n)[run + 1] - self.run_start[run]
 
 
 def earlier_windows(strings: list[bytes], ranks: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
-    """String number and window number, in this order, of the windows that a string of lesser rank has too. Strings are distinct; equal ranks don't count as lesser."""
+    """String number and window number, in this order, of the windows that a string of lesser rank has too. Strings are distinct; equal ranks don't count as lesser.
+
+    Strings beyond INDEX_BYTES go into several indexes in the order of their ranks, and each index is streamed by its own and all later strings.
+    """
     order = np.argsort(ranks, kind="stable")
-    index = RunLengthIndex([strings[i] for i in order], match)
-    sorted_ranks = ranks[order]
-    sizes = np.array([len(strings[i]) for i in order])
-    by_size = np.argsort(sizes, kind="stable")
-    which, windows, at = [], [], 0
-    while at < len(by_size):  # strings of like size side by side
-        limit = max(int(sizes[by_size[at]]) * 5 // 4, int(sizes[by_size[at]]) + 8)
-        end = int(np.searchsorted(sizes[by_size], limit, "right"))
-        end = min(max(end, at + 1), at + max(1, (1 << 20) // limit))
-        rows = by_size[at:end]
-        wide = int(sizes[rows].max())
-        place = index.starts[rows][:, None] + (np.arange(wide) - (wide - sizes[rows])[:, None])
-        found = index.least_strings(index.text[np.maximum(place, 0)], sizes[rows])
-        hit = (found >= 0) & (sorted_ranks[np.maximum(found, 0)] < sorted_ranks[rows][:, None])
-        k, col = np.nonzero(hit)
-        which.append(order[rows[k]])
-        windows.append(col - (wide - sizes[rows[k]]))
-        at = end
+    sizes = np.array([len(s) for s in strings], np.int64)
+    block = (np.cumsum(sizes[order] + 1) - 1) // INDEX_BYTES
+    heads = np.append(np.nonzero(np.append(True, block[1:] != block[:-1]))[0], len(order))
+    which, windows = [], []
+    for first, last in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+        index = RunLengthIndex([strings[i] for i in order[first:last].tolist()], ranks[order[first:last]], match)
+        by_size = order[first:][np.argsort(sizes[order[first:]], kind="stable")]
+        upto, at = sizes[by_size], 0
+        while at < len(by_size):  # strings of like size side by side
+            limit = max(int(upto[at]) * 5 // 4, int(upto[at]) + 8)
+            end = min(max(int(np.searchsorted(upto, limit, "right")), at + 1), at + max(1, (1 << 19) // limit))
+            rows, wide = by_size[at:end], int(upto[end - 1])
+            joined = np.frombuffer(b"".join([strings[i].rjust(wide, b"\0") for i in rows.tolist()]), np.uint8)
+            found = index.matching(joined.reshape(len(rows), wide).astype(np.int16) + np.int16(1), upto[at:end])[1]
+            k, col = np.nonzero((found >= 0) & (found < ranks[rows][:, None]))
+            which.append(rows[k])
+            windows.append(col - (wide - upto[at:end][k]))
+            at = end
+        del index
     which, windows = np.concatenate(which), np.concatenate(windows)
     turn = np.lexsort((windows, which))
-    return which[turn], windows[turn]
-
-
-def marks_of_group(strings: list[bytes], ranks: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
-    """earlier_windows(), through several indexes where the strings are too many for one: then over their distinct windows, shared out by hash."""
-    if sum(map(len, strings)) <= 4 * INDEX_BYTES:
-        return earlier_windows(strings, ranks, match)
-    counts = np.array([len(s) - match + 1 for s in strings])
-    shares = -(-int(counts.sum()) * match // (2 * INDEX_BYTES))
-    starts = np.cumsum([len(s) for s in strings]) - [len(s) for s in strings]
-    owner = np.repeat(np.arange(len(strings)), counts)
-    window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    share = string_hashes(words_at(np.frombuffer(b"".join(strings), np.uint8)), starts[owner] + window, np.full(len(owner), match)) % np.uint64(shares)
-    hit = np.zeros(len(owner), bool)
-    for part in range(shares):
-        rows = np.nonzero(share == part)[0]
-        cut = [strings[i][w : w + match] for i, w in zip(owner[rows].tolist(), window[rows].tolist(), strict=True)]
-        least: dict[bytes, int] = {}
-        for c, r in zip(cut, ranks[owner[rows]].tolist(), strict=True):
-            if least.get(c, 1 << 63) > r:
-                least[c] = r
-        distinct = sorted(least, key=least.__getitem__)
-        if not distinct:
-            continue
-        index = RunLengthIndex(distinct, match)
-        symbols = np.frombuffer(b"".join(distinct), np.uint8).reshape(len(distinct), match).astype(np.int64) + 1
-        first = index.least_strings(symbols, np.full(len(distinct), match))[:, 0]
-        rank_of = dict(zip(distinct, (least[distinct[k]] for k in first.tolist()), strict=True))
-        hit[rows] = np.array([rank_of[c] for c in cut]) < ranks[owner[rows]]
-    return owner[hit], window[hit]
+    which, windows = which[turn], windows[turn]
+    if len(heads) > 2 and len(which):  # several indexes may name one window
+        new = np.append(True, (which[1:] != which[:-1]) | (windows[1:] != windows[:-1]))
+        which, windows = which[new], windows[new]
+    return which, windows
 
 
 def text_check(data: bytes) -> int:
@@ -348,16 +352,27 @@ def not_least(hashed: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return later
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] = (), hot_stretches: int = HOT_STRETCHES) -> DataFrame:
+def widened(raw: bytes, begin: int, stop: int) -> tuple[int, int]:
+    """A span of bytes of UTF-8 with the whole of the characters at its edges."""
+    while begin > 0 and begin < len(raw) and raw[begin] & 0xC0 == 0x80:
+        begin -= 1
+    while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+        stop += 1
+    return begin, stop
+
+
+def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] = (), hot_stretches: int = HOT_STRETCHES, characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and the columns named in carry of each row of docs.
 
     Texts are their UTF-8 bytes, whole; a null text is empty. Strings are judged
     on the input, within a document. Rows of equal doc_id aren't earlier than each other. A
     null doc_id is neither earlier nor later than any, so its row keeps all. Other columns
-    are left out. No rows give no rows.
+    are left out. No rows give no rows. With ``characters`` a character of which some bytes
+    go goes whole, so that kept is UTF-8 again.
     """
-    spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    # So many buckets that one's texts and entries fit a worker, whatever the input's size.
+    buckets = bucket_count(docs.sparkSession, docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+    width = buckets // BUCKETS
     rows = docs.selectExpr(f"cast(coalesce(pmod(cast(doc_id as long), {buckets}), 0) as int) bucket", "cast(doc_id as long) doc_id", "cast(text as string) text", *[f"`{c}`" for c in carry])
 
     def send(batches):
@@ -527,7 +542,7 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
         strings, groups, held = [], [], 0
 
         def search() -> None:
-            which, window = marks_of_group(strings, least[np.array(groups)], match)
+            which, window = earlier_windows(strings, least[np.array(groups)], match)
             if not len(which):
                 return
             cut = np.nonzero(np.append(True, (which[1:] != which[:-1]) | (window[1:] != window[:-1] + 1)))[0]
@@ -570,6 +585,8 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
             begin = stop = None
             for f, windows in [*own, (None, None)]:
                 if stop is not None and (f is None or f > stop):
+                    if characters:
+                        begin, stop = widened(raw, begin, stop)
                     parts.append(raw[at:begin])
                     at, n, stop = stop, n + 1, None
                 if f is not None:
@@ -579,29 +596,26 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
         kinds = [pa.int64()] * 4 + [pa.binary()]
         return pa.table([*[pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], *[texts.column(c) for c in carry]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
-    shared = dealt(rows.mapInArrow(send, CUT_SCHEMA)).mapInArrow(meet, CUT_SCHEMA)
-    strings = rows.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(cut, CUT_SCHEMA)
-    spans = dealt(strings).mapInArrow(index, CUT_SCHEMA)
-    return rows.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(keep, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry]]))
-
+    shared = dealt(rows.mapInArrow(send, CUT_SCHEMA), buckets).mapInArrow(meet, CUT_SCHEMA)
+    by_bucket = rows.repartition(width, "bucket").groupBy("bucket")
+    strings = by_bucket.cogroup(shared.repartition(width, "bucket").groupBy("bucket")).applyInArrow(cut, CUT_SCHEMA)
+    spans = dealt(strings, buckets).mapInArrow(index, CUT_SCHEMA)
+    return by_bucket.cogroup(spans.repartition(width, "bucket").groupBy("bucket")).applyInArrow(
+        keep, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry]])
+    )
 
 
 def without_repeats(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """The rows and columns of docs with repeated passages cut from text.
 
     A character of which some bytes are cut goes whole. A null text becomes an
-    empty one; n_chars, if there, is counted anew.
+    empty one; n_chars, if there, is counted anew. Other columns stay as they are, whatever their names.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "bucket"))
-    kept = remove_repeats(docs, match, others)
-
-    def decode(batches):
-        for batch in in_slices(batches, "kept"):
-            texts = [k.decode("utf-8", "ignore") for k in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], names=["text", *batch.schema.names[1:]])
-
-    schema = ", ".join(["text string", "doc_id long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others]])
-    out = kept.select("kept", "doc_id", *others).mapInArrow(decode, schema)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[c for c in docs.columns if c != "bucket"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    inside = tuple(f"_carried_{i}" for i in range(len(others)))
+    kept = remove_repeats(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(x) for c, x in zip(others, inside, strict=True)]), match, inside, characters=True)
+    text = F.decode("kept", "UTF-8")
+    back = {"doc_id": F.col("doc_id"), "text": text, **{c: F.col(x) for c, x in zip(others, inside, strict=True)}}
+    if "n_chars" in back:
+        back["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[back[c].alias(c) for c in docs.columns])

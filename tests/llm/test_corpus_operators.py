@@ -112,7 +112,7 @@ def test_hot_key_spreads_over_tasks(spark, monkeypatch):
     texts += [texts[0][5:-5], texts[7][:100]]
     seen = []
     real = repeats.dealt
-    monkeypatch.setattr(repeats, "dealt", lambda df: seen.append(df) or real(df))
+    monkeypatch.setattr(repeats, "dealt", lambda df, n: seen.append(df) or real(df, n))
     got = repeats.remove_repeats(documents(spark, list(enumerate(texts))), 50, hot_stretches=100).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == brute_repeats(list(enumerate(texts)), 50)
     sent = Counter()
@@ -124,10 +124,21 @@ def test_hot_key_spreads_over_tasks(spark, monkeypatch):
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(documents(spark, some_texts()).limit(0)).count() == 0
     cut = repeats.without_repeats(documents(spark, some_texts()))
-    assert cut.columns == [c for c in documents(spark, []).columns if c != "bucket"] and cut.count() == len(some_texts())
+    assert cut.columns == documents(spark, []).columns and cut.count() == len(some_texts())
 
 
-def test_index_against_all_windows():
+def test_repeats_keep_other_columns_and_whole_characters(spark):
+    shared = "né à ☃ " * 12
+    rows = [(1, "é" + shared, 1, "k1"), (2, "ê" + shared + "é!", 2, "k2"), (3, None, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int, kept string").selectExpr("*", "bucket as n_removed", "kept as `n.bytes`", "3 as n_chars")
+    got = {r[0]: r for r in repeats.without_repeats(docs).collect()}
+    assert got[2].text == "ê" + "é!" and got[1].text == "é" + shared and got[3].text == ""
+    assert [(r.bucket, r.kept, r.n_removed, r["n.bytes"]) for _, r in sorted(got.items())] == [(1, "k1", 1, "k1"), (2, "k2", 2, "k2"), (3, None, 3, None)]
+    assert [r.n_chars for _, r in sorted(got.items())] == [len("é" + shared), 3, 0]
+    assert repeats.widened("aéb".encode(), 2, 3) == (1, 3) and repeats.widened("aéb".encode(), 0, 2) == (0, 3)
+
+
+def test_index_against_all_windows(monkeypatch):
     rng = random.Random(7)
     for trial in range(60):
         m, letters = rng.choice([2, 5, 9, 50]), rng.choice([b"ab", b"abcd", bytes(range(256))])
@@ -148,20 +159,34 @@ def test_index_against_all_windows():
             for p in range(len(s) - m + 1):
                 least[s[p : p + m]] = min(r, least.get(s[p : p + m], r))
         want = [(i, p) for i, s in enumerate(strings) for p in range(len(s) - m + 1) if least[s[p : p + m]] < ranks[i]]
+        monkeypatch.setattr(repeats, "INDEX_BYTES", rng.choice([100, 400, 1 << 20]))
         which, window = repeats.earlier_windows(strings, ranks, m)
         assert list(zip(which.tolist(), window.tolist(), strict=True)) == want
-        index = repeats.RunLengthIndex(sorted(strings), m)
-        assert len(index.run_start) <= index.n and index.run_start[0] == 0
-
-
-def test_large_groups_are_shared_out(monkeypatch):
+        # Matching statistics of strings that the index may not have.
+        known = strings[: len(strings) // 2 + 1]
+        wide = max(map(len, strings))
+        symbols = np.array([[0] * (wide - len(s)) + [c + 1 for c in s] for s in strings])
+        lengths, _ = repeats.RunLengthIndex(known, ranks[: len(known)], m).matching(symbols, np.array([len(s) for s in strings]))
+        for s, row in zip(strings, lengths.tolist(), strict=True):
+            own = [max(k for k in range(min(m, len(s) - p) + 1) if any(s[p : p + k] in x for x in known)) for p in range(len(s))]
+            assert row[wide - len(s) :] == own
+
+
+@pytest.mark.parametrize("size", [200, 1 << 20])
+def test_the_index_decides(spark, monkeypatch, size):
+    """An index that finds nothing, or all, changes the result, with one index as with several."""
     rng = random.Random(3)
-    strings = list({bytes(rng.choice(b"ab") for _ in range(14)) for _ in range(200)})
-    ranks = np.arange(len(strings))
-    want = repeats.earlier_windows(strings, ranks, 9)
-    monkeypatch.setattr(repeats, "INDEX_BYTES", 200)
-    got = repeats.marks_of_group(strings, ranks, 9)
-    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(9)) + base[rng.randrange(40) : 300 + rng.randrange(90)] + str(i)) for i in range(12)]
+    monkeypatch.setattr(repeats, "INDEX_BYTES", size)
+    taken = [r.n_removed for r in repeats.remove_repeats(documents(spark, rows).coalesce(1), 50).orderBy("doc_id").collect()]
+    assert taken == [x[2] for x in sorted(brute_repeats(rows, 50))]
+    strings, ranks = [t.encode() for _, t in rows], np.array([i for i, _ in rows])
+    want = [x.tolist() for x in repeats.earlier_windows(strings, ranks, 50)]
+    real = repeats.RunLengthIndex.matching
+    for lie in (lambda *a: [real(*a)[0], real(*a)[1] * 0 - 1], lambda *a: [real(*a)[0], real(*a)[1] * 0]):
+        monkeypatch.setattr(repeats.RunLengthIndex, "matching", lie)
+        assert [x.tolist() for x in repeats.earlier_windows(strings, ranks, 50)] != want
 
 
 # 3 TIFF
@@ -462,7 +487,7 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in single.collect()} == {i for i, _, c in brute_groups(rows) if c == i}
     rows = [(r.doc_id, r.text) for r in single.collect()]
     cut = stages["suffix-array dedup"](spark, single, folder).cache()
-    want = {i: kept.decode("utf-8", "ignore") for i, _, _, _, kept in brute_repeats(rows, 50)}
+    want = {i: kept.decode() for i, _, _, _, kept in brute_repeats(rows, 50)}  # no character of these texts is cut in two
     assert cut.columns == columns and {r.doc_id: r.text for r in cut.collect()} == want
     assert all(r.n_chars == len(r.text) for r in cut.collect())
     packed = stages["best-fit packing"](spark, cut, folder)
