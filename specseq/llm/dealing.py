@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from .common import shuffle_width
 
 SCHEMA = "bucket int, keys binary, docs binary, places binary"
-#: Buckets for each shuffle partition at least, and bytes of texts for which there is one at least. A receiving task holds the entries of one bucket.
-BUCKETS, BUCKET_BYTES = 2, 16 << 20
+#: Bytes of texts for which there is a bucket, beyond one for each shuffle partition. A receiving task holds the entries of one bucket.
+BUCKET_BYTES = 12 << 20
 
 
 def bucket_count(spark: SparkSession, text_bytes: int = 0) -> int:
-    return BUCKETS * max(shuffle_width(spark), -(-text_bytes // (BUCKETS * BUCKET_BYTES)))
+    return max(shuffle_width(spark), -(-text_bytes // BUCKET_BYTES))
 
 
 def planes(values: np.ndarray) -> bytes:

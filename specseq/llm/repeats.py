@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, in_slices
-from .dealing import BUCKETS, bucket_count, dealt, from_planes, mixed, planes, runs_of, runs_of_two
+from .dealing import bucket_count, dealt, from_planes, mixed, planes, runs_of, runs_of_two
 
 #: Bytes of a match, and of the strings whose hashes are window keys.
 MATCH, SEED = 50, 20
@@ -372,7 +372,6 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
     """
     # So many buckets that one's texts and entries fit a worker, whatever the input's size.
     buckets = bucket_count(docs.sparkSession, docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
-    width = buckets // BUCKETS
     rows = docs.selectExpr(f"cast(coalesce(pmod(cast(doc_id as long), {buckets}), 0) as int) bucket", "cast(doc_id as long) doc_id", "cast(text as string) text", *[f"`{c}`" for c in carry])
 
     def send(batches):
@@ -597,10 +596,10 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, carry: tuple[str, ...] =
         return pa.table([*[pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], *[texts.column(c) for c in carry]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry])
 
     shared = dealt(rows.mapInArrow(send, CUT_SCHEMA), buckets).mapInArrow(meet, CUT_SCHEMA)
-    by_bucket = rows.repartition(width, "bucket").groupBy("bucket")
-    strings = by_bucket.cogroup(shared.repartition(width, "bucket").groupBy("bucket")).applyInArrow(cut, CUT_SCHEMA)
+    by_bucket = rows.repartition(buckets, "bucket").groupBy("bucket")
+    strings = by_bucket.cogroup(shared.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(cut, CUT_SCHEMA)
     spans = dealt(strings, buckets).mapInArrow(index, CUT_SCHEMA)
-    return by_bucket.cogroup(spans.repartition(width, "bucket").groupBy("bucket")).applyInArrow(
+    return by_bucket.cogroup(spans.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(
         keep, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry]])
     )
 
