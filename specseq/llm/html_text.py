@@ -1,8 +1,10 @@
 """Main text of web pages from flat blocks that a decision tree classifies.
 
-A page is cut to text blocks at block-level tags. A block's features are its
-word count and link density, those of the blocks before and after it, and what
-the tags around it say. The tree is grown here on EXAMPLES, a small labelled table.
+A page is cut to text blocks at block-level tags. A block's features are its word
+count and link density, those of the blocks before and after it, and, as further
+evidence beside them, what the tags and names around it say. A block at the page's
+edge is its own neighbour there. The tree is grown here on labelled_pages(), a small
+labelled table of pages in several layouts and languages; nothing else decides.
 """
 
 from __future__ import annotations
@@ -20,20 +22,25 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
 SPACED = {"br", "td", "th", "wbr", "img", "option", "input"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't text of the page.
-DROPPED = set("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
+DROPPED = set("script style noscript template head title svg iframe object canvas audio video select textarea button".split())
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
-#: Tags and words of class, id or role names whose blocks are seldom part of an article.
+#: Elements that don't nest: a second start means that the first has no end.
+FLAT = {"button", "select"}
+#: Tags and words of class, id or role names whose blocks are seldom part of an article, and words that are only weak evidence of it.
 ASIDE_TAGS = {"nav", "aside", "footer", "form", "header", "dialog", "menu"}
 ASIDE_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-    "signup sidebar widget widgets related recommended trending share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer header masthead toolbar topbar pagination pager comment comments commentlist "
-    "disqus reply replies respond discussion login search form copyright legal disclaimer tags skip hidden complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription "
+    "signup sidebar widget widgets related recommended trending share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer masthead toolbar topbar pagination pager comment comments commentlist "
+    "disqus reply replies respond login form copyright skip hidden complementary contentinfo".split()
 )
-COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "disqus", "respond", "discussion"}
+WEAK_WORDS = set("notice notices notification alert discussion legal disclaimer tags header search".split())
+COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "disqus", "respond"}
 MAIN_WORDS = {"articlebody", "story", "entry", "post"}
 #: An element of the first closes an open one of the second, up to a border.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: Scripts without blanks between words: a character counts as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[^\W_]+")
 
@@ -45,7 +52,7 @@ class Block:
     linked: int
     heading: int
     inside: int  # 1 in an article or main element
-    aside: int  # 2 by a tag around it, 1 by a name
+    aside: int  # 3 by a tag around it, 2 by a name, 1 by a weak one
     label: int  # 1 where a training page marks it
 
     @property
@@ -75,17 +82,23 @@ def _opened(tag: str, attributes: str, above: Open) -> Open:
             own.label |= name == "data-m"
     said = {w for x in names if x and x[0] not in ("has", "with", "no", "without", "is") for w in x}
     if tag in ("article", "main") and not said & COMMENT_WORDS:
-        own.inside, own.aside = 1, 2 if above.aside == 2 else 0
+        own.inside, own.aside = 1, 3 if above.aside == 3 else 0
     elif tag not in ("html", "body"):
         if tag in ASIDE_TAGS and not (tag == "header" and above.inside):
-            own.aside = 2
+            own.aside = 3
         elif hidden or said & ASIDE_WORDS:
+            own.aside = max(own.aside, 2)
+        elif said & WEAK_WORDS:
             own.aside = max(own.aside, 1)
         if said & MAIN_WORDS and not own.aside:
             own.inside = 1
     return own
 
 
+def word_count(text: str) -> int:
+    return len(text.split()) + (0 if text.isascii() else len(UNSPACED.findall(text)))
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in its order; blocks without text are left out."""
     found: list[Block] = []
@@ -98,8 +111,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
-                linked = sum(len(t.split()) for t, o in parts if o.link)
-                found.append(Block(text, len(text.split()), linked, max(int(o.heading) for t, o in parts if t.strip()), where.inside, where.aside, where.label))
+                linked = sum(word_count(t) for t, o in parts if o.link)
+                found.append(Block(text, word_count(text), linked, max(int(o.heading) for t, o in parts if t.strip()), where.inside, where.aside, where.label))
             parts = []
 
     def add(raw: str) -> None:
@@ -133,16 +146,17 @@ def blocks(page: str) -> list[Block]:
             continue
         attributes = m[3] or m[6] or ""
         if tag in DROPPED and not attributes.endswith("/"):
-            depth = 1
+            depth, end = 1, at
             close = re.compile(rf"<(/?){tag}\b[^>]*(?:>|\Z)", re.I)
             while depth:
-                e = close.search(page, at)
-                if not e:
+                e = close.search(page, end)
+                if not e or (tag in FLAT and not e[1]):
                     # Without an end, raw text runs to the page's end; other elements drop their start tag alone.
-                    at = len(page) if tag in RAW else at
+                    end = len(page) if tag in RAW else at
                     break
-                at = e.end()
+                end = e.end()
                 depth += -1 if e[1] else tag not in RAW
+            at = end
             continue
         if tag in VOID:
             continue
@@ -164,20 +178,19 @@ def _close(stack: list[Open], tags: set[str], border: set[str]) -> None:
             return
 
 
-FEATURES = "aside inside page_inside heading words density words_before density_before words_after density_after".split()
+FEATURES = "words density words_before density_before words_after density_after heading inside page_inside aside".split()
 
 
 def block_features(found: list[Block]) -> list[tuple]:
-    article = int(any(b.inside and not b.aside for b in found))
+    article = int(any(b.inside and b.aside < 2 for b in found))
     rows = []
     for i, b in enumerate(found):
-        before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
-        near = [x for o in (before, after) for x in ((o.words, o.density) if o else (0, 0.0))]
-        rows.append((b.aside, b.inside, article, int(b.heading), b.words, b.density, *near))
+        near = [x for o in (found[max(i - 1, 0)], found[min(i + 1, len(found) - 1)]) for x in (o.words, o.density)]
+        rows.append((b.words, b.density, *near, int(b.heading), b.inside, article, b.aside))
     return rows
 
 
-def grow(rows: list[tuple], labels: list[int], depth: int = 8, least: int = 1):
+def grow(rows: list[tuple], labels: list[int], depth: int = 12, least: int = 2):
     """A classification tree by Gini impurity: (feature, cut, at most, above), or the share of label 1 in a leaf."""
     share = sum(labels) / len(labels)
     if depth == 0 or share in (0.0, 1.0):
@@ -208,32 +221,66 @@ def decide(tree, row: tuple) -> float:
     return tree
 
 
-_S = "Rain fell on the hills for most of the night and the river rose by a hand before the first light came."
-_T = "Nobody in the village could say later who had opened the gate of the mill, though three people had seen it stand wide."
-_U = "By noon the water had gone."
-_MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>World news</a></li><li><a href=/c>Sport</a></li></ul>"
-#: The labelled table: pages whose article blocks carry data-m.
-EXAMPLES = [
-    f"<body><nav>{_MENU}</nav><div class=ad>Buy two lamps and pay for one this week only.</div><article data-m><h1>The river</h1><p>{_S}<p>{_T}</p><p>{_U}</p></article><footer>&copy; The Valley Paper &middot; Printed on the old press by hand</footer></body>",
-    f"<body><header><h1>Valley Paper</h1>{_MENU}</header><main data-m><h2>The gate</h2><p>{_T}</p><p>So it was.</p><ul><li>Wide open</li><li>No lock</li></ul></main><aside><h3>Read next</h3><p>{_S}</p></aside><footer><p>{_U} All rights reserved.</p></footer></body>",
-    f"<body>{_MENU}<div id=story><h1 data-m>Floods</h1><p data-m>{_S}</p><p data-m>{_T} <a href=/x>More</a></p><div class=share><a href=/f>Share this</a></div></div><div class=comments><p>I saw it too, and my brother did.</p><p>{_U}</p></div></body>",
-    f"<div><a href=/>Home</a> | <a href=/n>News</a></div><h1 data-m>High water</h1><div data-m>{_S}</div><div data-m>{_U}</div><div data-m>{_T}</div><div><a href=/p>Privacy</a> <a href=/t>Terms</a></div>",
-    f"<body><div class='cookie-notice'><p>We use cookies to make the site better for you and for all our partners.</p></div><article data-m><header><h1>Mill found open</h1></header><p>{_T}</p><blockquote>{_U}</blockquote><p>{_S}</p></article><section class=related>{_MENU}</section></body>",
-    f"<body><form><label>Search</label><p>Type a word and press the key to find all the pages that have it.</p></form><article data-m><p>{_S}</p><p>{_U}</p><table><tr><td>River</td><td>2 m</td></tr></table></article><div id=sidebar><p>{_T}</p></div></body>",
-    f"<article><div data-m><h1>Short one</h1><p>{_U}</p></div><aside><p>{_S}</p></aside><p data-m>{_T}</p><div class='newsletter'><p>Sign up for our letter and get the news each day by mail.</p></div><footer><p>Filed under: rain</p></footer></article>",
-    f"<body><p><a href=/1>One</a> <a href=/2>Two</a> <a href=/3>Three</a></p><p data-m>{_S} {_T}</p><p data-m>{_T} {_S}</p><p><a href=/4>Next page</a></p></body>",
-    f"<body><nav><p>{_S}</p></nav><div class='advert'>{_T}</div><article data-m><h1>A note</h1><p>Yes.</p><p>No.</p></article><section id=comments><article class=comment><p>{_S}</p></article><article class=comment><p>Well said.</p></article></section></body>",
-    f"<body><main><div class=breadcrumb><a href=/>Home</a> <a href=/r>Rivers</a></div><h1 data-m>Levels</h1><p data-m>{_U} <a href=/l>All levels of the last ten years are listed here</a></p><ol data-m><li><a href=/q>Upper weir</a></li><li>Lower weir</li></ol></main></body>",
-    f"<div>{_MENU}</div><div data-m><p>{_T}</p></div><div data-m><p>{_S}</p><p>{_T}</p></div><div><ul><li><a href=/z>About the paper and its makers</a></li><li><a href=/y>Contact</a></li></ul></div><div>Copyright 2001</div>",
-    f"<body><nav>{_MENU}</nav><article data-m><h1><a href=/s>Source of the river</a></h1><p>{_S}</p><p><a href=/m>Map of the whole valley with all its mills</a></p><p><a href=/w>Weirs</a></p><ul><li><a href=/k>Keepers</a></li></ul></article><footer>{_MENU}</footer></body>",
-    f"<body><main data-m><p><a href=/d>Dam</a></p><p>{_U}</p><p><a href=/e>East bank</a></p></main><div><a href=/i>Imprint</a></div></body>",
-    f"<body><div>Login</div><article data-m><h2>Dry again</h2>{_S}<br>{_U}<p>{_T}</article><div>Top of page</div><div>{_U}</div></body>",
+#: Texts of the labelled pages in each language: three long sentences, a short one, a heading, a line under the page, a notice, and labels of links.
+TEXTS = [
+    ("Rain fell on the hills for most of the night and the river rose by a hand before the first light came.", "Nobody in the village could say later who had opened the gate of the mill, though three people had seen it stand wide.", "The keeper wrote down the height of the water every hour and sent a boy with the numbers to the town.", "By noon it had gone.", "The river", "Copyright 2001 The Valley Paper", "We use cookies to make the site better for you and for all our partners.", "Home World Sport Contact Prices About-us".split()),
+    ("Der Regen fiel die ganze Nacht auf die Hügel und der Fluss stieg um eine Handbreit, bevor es hell wurde.", "Niemand im Dorf konnte später sagen, wer das Tor der Mühle geöffnet hatte, obwohl drei Leute es offen gesehen hatten.", "Der Wärter schrieb jede Stunde den Stand des Wassers auf und schickte einen Jungen mit den Zahlen in die Stadt.", "Mittags war es fort.", "Hochwasser im Tal", "Alle Rechte vorbehalten, Talzeitung", "Wir verwenden Kekse, damit die Seite für Sie und unsere Partner besser wird.", "Start Welt Sport Kontakt Preise Impressum".split()),
+    ("La lluvia cayó sobre las colinas casi toda la noche y el río subió un palmo antes de la primera luz.", "Nadie en el pueblo supo decir después quién había abierto la puerta del molino, aunque tres la habían visto abierta.", "El guarda apuntaba cada hora la altura del agua y mandaba a un chico con los números a la ciudad.", "Se fue al mediodía.", "El molino abierto", "Todos los derechos reservados", "Usamos galletas para que el sitio sea mejor para usted y para nuestros socios.", "Inicio Mundo Deportes Contacto Precios Aviso".split()),
+    ("夜里大部分时间山上都在下雨天亮之前河水涨了一掌高。", "后来村里没有人能说出是谁打开了磨坊的门虽然有三个人看见门是开着的。", "看守每小时记下水位并派一个孩子把数字送到城里。", "中午水退了。", "河水", "版权所有 山谷报", "我们使用饼干让网站对您和我们的伙伴更好。", "首页 世界 体育 联系 价格 关于".split()),
 ]
 
 
+def labelled_pages() -> list[str]:
+    """The labelled table: pages whose article blocks are in elements with data-m."""
+    pages = []
+    for a, b, c, short, head, line, notice, labels in TEXTS:
+        links = [f"<a href=/{i}>{x}</a>" for i, x in enumerate(labels)]
+        menu, row, two = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", " ".join(links), f"<a href=/n>{labels[0]} {labels[1]}</a>"
+        long = f"<p>{a} {b} {c} {b} {a}</p>"
+        pages += [f"<p data-m>{short}</p>", f"<div><p data-m>{head}</p><p data-m>{short}</p></div>", f"<p data-m>{short}</p><p data-m>{short} {short}</p><p data-m>{head}</p>"]
+        pages += [f"<{x}>{long}<p>{short}</p>{long}</{x.split()[0]}><div data-m>{long}</div><{x}>{long}</{x.split()[0]}>" for x in ("div class=comments", "aside", "div class=sidebar", "footer", "form", "div class=cookie", "nav", "div class=related")]
+        pages += [f"<{x}>{long}<p>{short}</p></{x.split()[0]}><article data-m>{long}<p>{short}</p></article><{x}>{short}{long}</{x.split()[0]}>" for x in ("div class=comments", "aside", "div", "footer", "div class=cookie")]
+        # In an article, and in a box beside it, blocks may have any lengths in any order.
+        cut = lambda k, t=f"{a} {b} {c}": f"<p>{' '.join(t.split()[:k]) if t.isascii() or ' ' in t[:9] else t[:k]}</p>"
+        for order in ((1, 2, 30, 3, 3, 1, 12, 2, 5, 2, 4, 1, 40, 3, 2, 14, 1, 1, 6), (3, 1, 1, 25, 2, 4, 1, 9, 2, 2, 2, 18, 3, 35, 1, 5, 1, 16, 4)):
+            mixed = "".join(cut(k) for k in order)
+            pages += [
+                f"<nav>{menu}</nav><div class=ad>{cut(order[4])}</div><article data-m><h1>{head}</h1>{mixed}</article><div class=promo>{mixed}</div><div>{mixed}</div><footer>{line}</footer>",
+                f"<div>{mixed}</div><main data-m>{mixed}<p class=notice>{short}</p>{mixed}</main><aside>{mixed}</aside><div class=legal>{mixed}</div><form>{mixed}</form>",
+                f"<div class=comments>{mixed}</div><p>{row}</p><div class=cookie>{mixed}</div><div>{row}</div>",
+            ]
+        for body in (f"<p>{a}</p><p>{b}</p><p>{short}</p><p>{c} {a}</p>", f"<p>{short}</p><p>{c}</p>", f"<p>{a} {b} {c}</p>"):
+            marked = body.replace("<p>", "<p data-m>")
+            pages += [
+                # By the tags of HTML 5.
+                f"<nav>{menu}</nav><div class=ad>{short} {short}</div><article data-m><h1>{head}</h1>{body}</article><footer>{line}</footer>",
+                f"<header><h1>{line}</h1>{menu}</header><main data-m><h2>{head}</h2>{body}<ul><li>{short}</li><li>{two}</li></ul></main><aside><h3>{head}</h3><p>{b}</p></aside><footer><p>{short} {line}</p></footer>",
+                f"<div class=cookie-notice><p>{notice}</p></div><article data-m><header><h1>{head}</h1></header>{body}<blockquote>{short}</blockquote></article><section class=related>{menu}</section>",
+                f"<form><label>{labels[0]}</label><p>{notice}</p></form><article data-m>{body}<table><tr><td>{head}</td><td>{labels[2]}</td></tr></table></article><div id=sidebar><p>{b}</p></div>",
+                f"<article><div data-m><h1>{head}</h1>{body}</div><aside><p>{a}</p></aside><p data-m>{b}</p><div class=newsletter><p>{notice}</p></div><footer><p>{line}</p></footer></article>",
+                f"<nav><p>{a}</p></nav><div class=advert>{b}</div><article data-m><h1>{head}</h1><p>{short}</p>{body}</article><section id=comments><article class=comment><p>{c}</p></article><article class=comment><p>{short}</p></article></section>",
+                f"<article data-m><p class=legal>{short}</p>{body}<p class=notice>{b}</p><div id=discussion><p>{short}</p>{c}</div></article><div class=legal>{line}</div>",
+                f"<nav>{menu}</nav><article data-m><h1>{two}</h1>{body}<p>{two}</p><ul><li>{links[3]}</li></ul></article><div class=notice>{notice}</div>",
+                # By names.
+                f"<div id=menu>{row}</div><div id=story><h1 data-m>{head}</h1>{marked}<div class=share>{two}</div></div><div class=comments><p>{short}</p><p>{a}</p></div><div class=copyright>{line}</div>",
+                f"<div class=navbar>{row}</div><div class=page>{marked}</div><div class=sidebar><p>{b}</p><p>{short}</p></div><div class=footer>{line}</div>",
+                # Without either: word counts and links of blocks and their neighbours alone tell.
+                f"<div>{row}</div><h1 data-m>{head}</h1>{marked}<div>{two} {links[4]}</div>",
+                f"{menu}<div>{marked}</div>{menu}<div>{line}</div>",
+                f"<table><tr><td>{menu}</td><td><h2 data-m>{head}</h2>{marked}</td></tr></table><p>{row}</p>",
+                f"<p>{row}</p>{marked}<h3 data-m>{head}</h3><p data-m>{c} {b} {two}</p><p>{two}</p><p>{row}</p>",
+                f"<div>{labels[0]}</div>{marked}<div>{labels[5]}</div><div>{row}</div>",
+                f"<div>{marked}</div>",
+                f"{marked}<p data-m>{head.split()[0]}</p>",
+                f"<h1 data-m>{head}</h1>{marked}",
+                f"<div>{menu}</div><p>{row}</p><div>{two}</div>",
+            ]
+    return pages
+
+
 def trained():
     rows, labels = [], []
-    for page in EXAMPLES:
+    for page in labelled_pages():
         found = blocks(page)
         rows += block_features(found)
         labels += [b.label for b in found]
@@ -248,7 +295,7 @@ def main_text(page: str, tree) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages, from its whole html.
 
-    A null or empty html, or one without an article, gives an empty text. Broken
+    A null or empty html, or one of links alone, gives an empty text. Broken
     markup is read as far as it goes. Repeated rows and null ids give a row each;
     other columns are left out.
     """
