@@ -36,29 +36,31 @@ class Encoder:
 
     A plain byte-level BPE file whose ids follow the order of its merges is run by
     the tiktoken library on the file's own vocabulary, which gives the same ids
-    in a fifth of the time; any other file by the tokenizers library.
+    in a fifth of the time; any other file by the tokenizers library. A string of the
+    file's added tokens in a text is that token, as the tokenizers library has it.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        ranks = self._ranks(spec)
+        ranks, added = self._ranks(spec), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if ranks is None:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
             self._encode = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         else:
             import public_tokenizers
             import tiktoken
 
-            encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-            self._encode = lambda texts: [encode(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
+            encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added).encode_to_numpy
+            self._encode = lambda texts: [encode(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
 
     @staticmethod
     def _ranks(spec: dict) -> dict[bytes, int] | None:
         model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            return None
         plain = model.get("type", "BPE") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
             return None
