@@ -23,6 +23,8 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PLAIN, LZW, DEFLATE_NEW, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 #: Struct codes of the field types.
 KINDS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+#: A byte of stored data stands for so many at most (LZW's longest string for a 12-bit code), and a page has so many bytes at most; a page that claims more is broken.
+MOST_TIMES, MOST_BYTES = 2600, 1 << 30
 PAGES = "page int, width long, height long, samples int, bits int, compression string, pixels binary, error string"
 
 
@@ -199,6 +201,8 @@ def _directories(data: bytes):
 
 def _block(raw: bytes, compression: int, predictor: int, shape: tuple[int, int, int], dtype: np.dtype) -> np.ndarray:
     size = math.prod(shape) * dtype.itemsize
+    if size > len(raw) * MOST_TIMES:
+        raise ValueError("a strip or tile claims more than its data can hold")
     if compression == PLAIN:
         got = raw
     elif compression == PACKBITS:
@@ -206,7 +210,7 @@ def _block(raw: bytes, compression: int, predictor: int, shape: tuple[int, int,
     elif compression == LZW:
         got = unpack_lzw(raw, size)
     elif compression in (DEFLATE_NEW, DEFLATE_OLD):
-        got = zlib.decompress(raw)
+        got = zlib.decompressobj().decompress(raw, size)
     else:
         raise ValueError(f"compression {compression} isn't supported")
     if len(got) < size:
@@ -225,16 +229,22 @@ def read_tiff(data: bytes):
         one = lambda tag, default, tags=tags: tags.get(tag, (default,))[0]
         width, height, samples = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
         bits, kind, compression, predictor = one(BITS, 1), one(FORMAT, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+        if min(width, height, samples, bits) < 1:
+            raise ValueError("an image without pixels")
         if bits % 8 or bits > 64 or any(b != bits for b in tags.get(BITS, (1,))):
             raise ValueError(f"{bits} bits a sample aren't supported")
         dtype = np.dtype(f"{order}{'f' if kind == 3 else 'i' if kind == 2 else 'u'}{bits // 8}")
         tiled = TILE_OFFSETS in tags
         bh, bw = (one(TILE_LENGTH, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
         offsets, sizes = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES]
+        if min(bh, bw) < 1:
+            raise ValueError("strips or tiles without pixels")
         planes = samples if one(PLANAR, 1) == 2 else 1
+        if width * height * samples * dtype.itemsize > min(MOST_BYTES, MOST_TIMES * len(data)) or len(offsets) != planes * -(-height // bh) * -(-width // bw):
+            raise ValueError("the image's size doesn't go with its data")
         depth = samples // planes
         image = np.zeros((height, width, samples), dtype)
-        down, across = -(-height // max(bh, 1)), -(-width // max(bw, 1))
+        down, across = -(-height // bh), -(-width // bw)
         for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
             plane, rest = divmod(i, down * across)
             y, x = rest // across * bh, rest % across * bw
@@ -245,12 +255,12 @@ def read_tiff(data: bytes):
 
 
 def _pages_of(data: bytes | None):
-    """Rows as in PAGES of one file. A null, empty or broken file ends in a row with page -1 and the reason."""
+    """Rows as in PAGES of one file. A null, empty or broken file ends in a row with page -1 and the reason, whatever its headers say."""
     i = 0
     try:
         for i, (image, how) in enumerate(read_tiff(data or b"")):  # noqa: B007
             yield i, image.shape[1], image.shape[0], image.shape[2], image.dtype.itemsize * 8, how, image.tobytes(), None
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+    except (ValueError, TypeError, LookupError, ArithmeticError, struct.error, zlib.error) as e:
         yield -1, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
