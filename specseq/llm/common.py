@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -40,14 +41,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that written() made, for each open settled() call.
+_passing: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors. Within a settled() function it lasts as long as the call."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(name: str):
+    """Of a function that returns a DataFrame of rows of its first argument's size: its result is written, and all tables that it wrote on the way are deleted."""
+
+    def wrap(function):
+        @functools.wraps(function)
+        def run(df: DataFrame, *args, **named) -> DataFrame:
+            spark, paths = df.sparkSession, []
+            _passing.append(paths)
+            try:
+                result = function(df, *args, **named)
+                path = scratch_path(spark, name)
+                result.write.parquet(path)
+            finally:
+                _passing.pop()
+                for p in paths:
+                    place = spark._jvm.org.apache.hadoop.fs.Path(p)
+                    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            if _passing:
+                _passing[-1].append(path)
+            schema = result.schema
+            del result
+            gc.collect()
+            spark._jvm.System.gc()  # Spark drops shuffle files once nothing refers to their plans
+            return spark.read.schema(schema).parquet(path)
+
+        return run
+
+    return wrap
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, as SQL functions have no local names."""
     return F.transform(F.array(value), body)[0]

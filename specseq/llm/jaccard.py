@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import give_back, in_slices, sized, without_ids, written
+from .common import give_back, in_slices, settled, sized, without_ids, written
 from .dealing import SCHEMA, bucket_count, deal, dealt, gathered, mixed, runs_of
 from .shingles import set_hash, shingle_sets
 
@@ -264,6 +264,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(of("a") != of("b")).select("a", "b")
 
 
+@settled("groups")
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links, itself included) of each row of docs.
 

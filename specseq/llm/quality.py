@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLANK, sized, without_ids, written
+from .common import BLANK, settled, sized, without_ids, written
 
 #: Vectors count in 1024ths.
 STEP = 1024
@@ -200,6 +200,7 @@ def minimum_covariance_determinant(members: DataFrame) -> DataFrame:
     return written(estimate, "mcd")
 
 
+@settled("judged")
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed, distance2 and kept for each row of docs.
 
