@@ -15,6 +15,14 @@ PROTON, WATER = 1.00727638, 18.0105647
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
+# Classes of a site by the residues at its sides; the first line that fits names the class, P-P, G-G and all else are OTHER_SITE.
+SITE_CLASSES = [
+    ("after", "P", 0), ("before", "P", 1), ("after", "G", 2), ("before", "G", 3), ("after", "RK", 4), ("before", "H", 5), ("after", "H", 6), ("before", "DE", 7),
+    ("after", "DE", 8), ("before", "JV", 9), ("after", "JV", 10), ("before", "ST", 11), ("after", "ST", 12), ("before", "N", 13), ("after", "N", 14),
+]
+OTHER_SITE = 15
+
+
 def residue_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(RESIDUES.items()), "sym string, mono double")
 
@@ -45,10 +53,11 @@ def ladder(sequence: Column) -> Column:
 
 
 def amino_class(before: Column, after: Column) -> Column:
-    """Class of a cleavage site from the residues at its sides: the first rule of the list that fits."""
-    case = F.when(after == "P", 1).when(before == "P", 2).when(before == "G", 3).when(after == "G", 4).when(before.isin("K", "R"), 5).when(after.isin("K", "R"), 6)
-    case = case.when(before == "H", 7).when(after == "H", 8).when(before.isin("D", "E"), 9).when(after.isin("D", "E"), 10).when(before.isin("I", "V"), 11).when(after.isin("I", "V"), 12)
-    return case.when(after.isin("S", "T"), 13).when(before.isin("S", "T"), 14).when(before == "N", 15).otherwise(16)
+    """Class of a site from the residues at its sides, by SITE_CLASSES."""
+    case = F.when((before == after) & before.isin("P", "G"), OTHER_SITE)
+    for side, residues, number in SITE_CLASSES:
+        case = case.when((before if side == "before" else after).isin(*residues), number)
+    return case.otherwise(OTHER_SITE)
 
 
 def cleavage_rule(before: Column, after: Column, rules: list[tuple[str, str]]) -> Column:

@@ -34,8 +34,8 @@ def delta_pairs(scans: DataFrame, key: str, mass: str, delta: float, tolerance:
     return range_join(light, heavy, "light_mass", "shifted", tolerance, near).drop("shifted")
 
 
-def delta_pairs_ppm(scans: DataFrame, key: str, mass: str, delta: float, ppm: float) -> DataFrame:
-    """As delta_pairs(), with a tolerance of ppm of the heavy mass, for masses above 0.
+def delta_pairs_ppm(scans: DataFrame, key: str, mass: str, delta: float, ppm: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """As delta_pairs(), with a tolerance of ppm of the heavy mass, for masses above 0, of scans that are equal in the columns ``on``.
 
     The tolerance grows with the mass, so buckets do: band n holds masses from
     2**n to 2**(n + 1), and its buckets are as wide as the greatest tolerance in the
@@ -44,11 +44,11 @@ def delta_pairs_ppm(scans: DataFrame, key: str, mass: str, delta: float, ppm: fl
     near = F.abs(F.col("heavy_mass") - F.col("light_mass") - delta) < ppm * 1e-6 * F.col("heavy_mass")
     band = lambda m: F.floor(F.log2(F.greatest(m, F.lit(1.0))))
     width = lambda n: ppm * 4e-6 * (F.pow(F.lit(2.0), n) + abs(delta))
-    light = scans.where(F.col(mass) > 0).select(F.col(key).alias("light"), F.col(mass).alias("light_mass"), band(F.col(mass)).alias("band"))
+    light = scans.where(F.col(mass) > 0).select(*on, F.col(key).alias("light"), F.col(mass).alias("light_mass"), band(F.col(mass)).alias("band"))
     light = light.withColumn("bucket", F.floor(F.col("light_mass") / width(F.col("band"))))
-    heavy = scans.where(F.col(mass) > 0).select(F.col(key).alias("heavy"), F.col(mass).alias("heavy_mass"), F.explode(F.array_distinct(F.array(*[band((F.col(mass) - delta) * (1 + i * ppm * 4e-6) + i * ppm * 4e-6 * abs(delta)) for i in (-1, 0, 1)]))).alias("band"))
+    heavy = scans.where(F.col(mass) > 0).select(*on, F.col(key).alias("heavy"), F.col(mass).alias("heavy_mass"), F.explode(F.array_distinct(F.array(*[band((F.col(mass) - delta) * (1 + i * ppm * 4e-6) + i * ppm * 4e-6 * abs(delta)) for i in (-1, 0, 1)]))).alias("band"))
     heavy = heavy.withColumn("bucket", F.explode(F.array(*[F.floor((F.col("heavy_mass") - delta) / width(F.col("band"))) + i for i in (-1, 0, 1)])))
-    return light.join(heavy, ["band", "bucket"]).where(near).select("light", "heavy", "light_mass", "heavy_mass")
+    return light.join(heavy, ["band", "bucket", *on]).where(near).select("light", "heavy", "light_mass", "heavy_mass")
 
 
 def unpaired(scans: DataFrame, key: str, mass: str, delta: float, tolerance: float) -> DataFrame:

@@ -30,10 +30,10 @@ def adjacent(rows: DataFrame, key: str, sequence: str) -> DataFrame:
 def kmers(rows: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key and each substring of k characters with repetition."""
     x = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(x) - k + 1
-    at = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    split = rows.select(key, x.alias("_x"), at.alias("_at"))
-    return split.select(key, F.explode(F.transform("_at", lambda i: F.array_join(F.slice("_x", i, F.lit(k)), ""))).alias("kmer"))
+    split = rows.select(key, x.alias("_x"))
+    # A string that would reach over the end is null.
+    joined = F.transform("_x", lambda c, i: F.concat(c, *[F.get(F.col("_x"), i + j) for j in range(1, k)]))
+    return split.select(key, F.explode(joined).alias("kmer")).where("kmer is not null")
 
 
 def match_probability(kmer_rows: DataFrame, by: str) -> DataFrame:
@@ -87,12 +87,10 @@ def flag_runs(rows: DataFrame, key: str, order: list[str], flag: str) -> DataFra
     return placed.withColumn("_run", run).groupBy(key, "_run").agg(F.min("_i").alias("run_start"), (F.max("_i") + 1).alias("run_end")).drop("_run")
 
 
-def consecutive_pairs(rows: DataFrame, group: str, order: list[str], value: str, tolerance: float) -> DataFrame:
-    """Rows whose predecessor in the group is within the tolerance, each row in one pair at most: of a run of close rows the 1st and 2nd, the 3rd and 4th and so on are paired."""
-    w = Window.partitionBy(group).orderBy(*order)
-    key = order[-1]
-    with_before = rows.withColumns({"_before": F.lag(value).over(w), "first": F.lag(key).over(w), "_i": F.row_number().over(w)})
-    close = F.coalesce(F.abs(F.col(value) - F.col("_before")) < tolerance, F.lit(False))
+def consecutive_pairs(rows: DataFrame, group: str, number: str, value: str, ppm: float) -> DataFrame:
+    """group, first, second: rows whose number follows another's in the group at once and whose values are within 10 * ppm of the second's; each row is in one pair at most, so of a run of close rows the 1st and 2nd, the 3rd and 4th and so on are paired."""
+    w = Window.partitionBy(group).orderBy(number)
+    follows = (F.col(number) - F.lag(number).over(w) == 1) & (F.abs(F.col(value) - F.lag(value).over(w)) < 1e-5 * ppm * F.col(value))
+    placed = rows.withColumns({"_close": F.coalesce(follows, F.lit(False)), "_i": F.row_number().over(w)})
     start = F.max(F.when(~F.col("_close"), F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    placed = with_before.withColumn("_close", close).withColumn("_start", start)
-    return placed.where(F.col("_close") & ((F.col("_i") - F.col("_start")) % 2 == 1)).select(group, "first", F.col(key).alias("second"))
+    return placed.withColumn("_start", start).where(F.col("_close") & ((F.col("_i") - F.col("_start")) % 2 == 1)).select(group, (F.col(number) - 1).alias("first"), F.col(number).alias("second"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph_queries, kernel_queries, result_queries, spectra_queries
+from . import evidence_queries, graph_queries, kernel_queries, measure_queries, program_queries, result_queries, spectra_queries
 
-QUERIES = {**spectra_queries.QUERIES, **result_queries.QUERIES, **graph_queries.QUERIES, **kernel_queries.QUERIES}
-SQL = {**spectra_queries.SQL, **result_queries.SQL, **graph_queries.SQL}
+_MODULES = (spectra_queries, result_queries, graph_queries, kernel_queries, evidence_queries, program_queries, measure_queries)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

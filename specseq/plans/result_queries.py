@@ -169,10 +169,12 @@ def nonredundant_union(spark, d):
     return rows.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("k")).union(rows.where("l_returnflag = 'R'").select("l_partkey")).distinct()
 
 
-@query("""with x as (select *, lag(event_id) over w as first, coalesce(abs(value - lag(value) over w) < 5, false) as near, row_number() over w as i from events window w as (partition by user_id order by ts, event_id)),
-y as (select *, max(case when not near then i end) over (partition by user_id order by ts, event_id rows unbounded preceding) as start_i from x) select user_id, first, event_id as second from y where near and (i - start_i) % 2 = 1""")
+@query("""with r as (select l_orderkey, l_linenumber k, max(l_extendedprice) v from lineitem group by 1, 2), x as (select *, coalesce(k - lag(k) over w = 1 and abs(v - lag(v) over w) < 0.3 * v, false) as near, row_number() over w as i from r window w as (partition by l_orderkey order by k)),
+y as (select *, max(case when not near then i end) over (partition by l_orderkey order by k rows unbounded preceding) as start_i from x) select l_orderkey, k - 1 as first, k as second from y where near and (i - start_i) % 2 = 1""")
 def consecutive_pairs(spark, d):
-    return sequences.consecutive_pairs(t.table(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 5.0)
+    """Lines of an order with consecutive numbers and like prices, each in one pair at most."""
+    rows = t.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("price"))
+    return sequences.consecutive_pairs(rows, "l_orderkey", "l_linenumber", "price", 30000.0)
 
 
 AA = "".join(r.RESIDUES)
@@ -217,8 +219,8 @@ def ladder_compare(spark, d):
 SIDES = f"{LETTERS}, adj as (select p_partkey, pos, sym as before, lead(sym) over (partition by p_partkey order by pos) as after from l)"
 
 
-@query(f"""with {SEQ}, {SIDES} select p_partkey, pos::integer pos, (case when after = 'P' then 1 when before = 'P' then 2 when before = 'G' then 3 when after = 'G' then 4 when before in ('K', 'R') then 5 when after in ('K', 'R') then 6 when before = 'H' then 7 when after = 'H' then 8
-when before in ('D', 'E') then 9 when after in ('D', 'E') then 10 when before in ('I', 'V') then 11 when after in ('I', 'V') then 12 when after in ('S', 'T') then 13 when before in ('S', 'T') then 14 when before = 'N' then 15 else 16 end)::integer as class from adj where after is not null""")
+@query(f"""with {SEQ}, {SIDES} select p_partkey, pos::integer pos, (case when after = 'P' then if(before = 'P', 15, 0) when before = 'P' then 1 when after = 'G' then if(before = 'G', 15, 2) when before = 'G' then 3 when after in ('R', 'K') then 4 when before = 'H' then 5 when after = 'H' then 6
+when before in ('D', 'E') then 7 when after in ('D', 'E') then 8 when before in ('J', 'V') then 9 when after in ('J', 'V') then 10 when before in ('S', 'T') then 11 when after in ('S', 'T') then 12 when before = 'N' then 13 when after = 'N' then 14 else 15 end)::integer as class from adj where after is not null""")
 def aa_equiv_class(spark, d):
     return sequences.adjacent(_sequences(spark, d), "p_partkey", "seq").select("p_partkey", "pos", r.amino_class(F.col("before"), F.col("after")).alias("class"))
 

@@ -95,6 +95,7 @@ class PairConfiguration:
     c_mod: float
     n_symbol: str = ""
     c_symbol: str = ""
+    model: str = ""
 
 
 @dataclass(frozen=True)
@@ -112,20 +113,78 @@ class Parameters:
     subgraphcut: float = 300.0
     pairs: tuple[PairConfiguration, ...] = ()
     enzyme: tuple[tuple[str, str], ...] = field(default=())
+    #: Of each other section (models, cluster configuration, amino acids, static and diff mods, columns) the words of each entry.
+    others: dict[str, dict[str, tuple[str, ...]]] = field(default_factory=dict)
 
 
 def read_parameters(text: str) -> Parameters:
-    """Parameters from INI text: [Parameters] name = number, [Pair Configurations] name = four numbers and two symbols, [Enzyme] specificity = before;after (| for alternatives, .* for any)."""
-    ini = configparser.ConfigParser()
+    """Parameters from INI text.
+
+    The section whose name is or ends with Parameters has numbers by name; [Pair Configurations] name = four numbers, two symbols (None, 0 or False for
+    none) and a model; [Enzyme] specificity = before;after (| for alternatives, .* for any). Entries of other sections are split to words.
+    """
+    ini = configparser.ConfigParser(interpolation=None)
     ini.read_string(text)
-    known = {k: float(v) for k, v in (ini["Parameters"].items() if "Parameters" in ini else ()) if k in Parameters.__dataclass_fields__}
-    pairs = []
-    for name, value in ini["Pair Configurations"].items() if "Pair Configurations" in ini else ():
-        n = value.split()
-        pairs.append(PairConfiguration(name, *map(float, n[:4]), *n[4:6]))
-    sides = []
-    if "Enzyme" in ini and "specificity" in ini["Enzyme"]:
-        for motif in ini["Enzyme"]["specificity"].split():
-            before, after = motif.split(";")
-            sides += [(b, a) for b in before.split("|") for a in after.split("|")]
-    return Parameters(**known, pairs=tuple(pairs), enzyme=tuple(sides))
+    known, pairs, sides, others = {}, [], [], {}
+    for name in ini.sections():
+        entries = dict(ini[name])
+        if name.split()[-1:] == ["Parameters"]:
+            known |= {k: float(v.split()[0]) for k, v in entries.items() if k in Parameters.__dataclass_fields__ and k not in ("pairs", "enzyme", "others")}
+        elif name == "Pair Configurations":
+            for pair, value in entries.items():
+                n = value.split()
+                symbols = ["" if x in ("None", "0", "False") else x for x in n[4:6]]
+                pairs.append(PairConfiguration(pair, *map(float, n[:4]), *symbols, *n[6:7]))
+        elif name == "Enzyme" and "specificity" in entries:
+            for motif in entries["specificity"].split():
+                before, after = motif.split(";")
+                sides += [(b, a) for b in before.split("|") for a in after.split("|")]
+        else:
+            others[name] = {k: tuple(v.split()) for k, v in entries.items()}
+    return Parameters(**known, pairs=tuple(pairs), enzyme=tuple(sides), others=others)
+
+
+def read_scans(spark: SparkSession, path: str, fields: list[str] | None = None, sep: str = ",", skip: int = 0) -> DataFrame:
+    """The columns (or the named ones) of tables of results, as text; the header comes after ``skip`` lines of a file."""
+    if not skip:
+        rows = spark.read.option("header", True).option("sep", sep).csv(path)
+        return rows.select(*[F.col(f"`{c}`") for c in fields]) if fields else rows
+    lines = spark.read.text(path, wholetext=True).select(F.slice(F.split("value", "\r?\n"), skip + 1, F.lit(1 << 30)).alias("l"))  # such files are a program's reports, one row each
+    header = [c.strip() for c in lines.first().l[0].split(sep)]
+    body = lines.select(F.explode(F.slice("l", 2, F.size("l"))).alias("value")).where("value <> ''")
+    parsed = body.select(F.from_csv("value", ", ".join(f"`{c}` string" for c in header), {"sep": sep}).alias("r")).select("r.*")
+    return parsed.select(*[F.col(f"`{c}`") for c in fields]) if fields else parsed
+
+
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """file, lines of text files."""
+    return spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("lines"))
+
+
+def read_scoring_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """a, b, score of a substitution matrix: comment lines start with #, the first other line names the columns, the others start with their letter."""
+    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda l: (F.trim(l) != "") & ~F.startswith(l, F.lit("#"))).alias("l"))  # a matrix is one row
+    words = lambda x: F.split(F.trim(x), "\\s+")
+    cells = lines.select(words(F.col("l")[0]).alias("names"), F.explode(F.slice("l", 2, F.size("l"))).alias("line")).select("names", words(F.col("line")).alias("w"))
+    return cells.select(F.col("w")[0].alias("a"), F.posexplode("names").alias("i", "b"), "w").select("a", "b", F.get("w", F.col("i") + 1).cast("int").alias("score"))
+
+
+def read_libsvm(spark: SparkSession, path: str) -> DataFrame:
+    """label, features (map of number to value) of LibSVM lines; what follows # is left out."""
+    words = F.split(F.trim(F.regexp_replace("value", "#.*", "")), "\\s+")
+    cells = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda c: F.struct(F.split(c, ":")[0].cast("int").alias("k"), F.split(c, ":")[1].cast("double").alias("v")))
+    return spark.read.text(path).where("trim(regexp_replace(value, '#.*', '')) <> ''").select(words[0].cast("double").alias("label"), F.map_from_entries(cells).alias("features"))
+
+
+def feature_ranges(rows: DataFrame) -> DataFrame:
+    """feature, lowest, highest of the features of read_libsvm(): what min-max scaling needs."""
+    return rows.select(F.explode("features").alias("feature", "value")).groupBy("feature").agg(F.min("value").alias("lowest"), F.max("value").alias("highest"))
+
+
+def range_lines(ranges: DataFrame) -> DataFrame:
+    """value: ``feature lowest highest`` for each row, to be written as text; read_ranges() reads it back."""
+    return ranges.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("feature", "lowest", "highest")]).alias("value"))
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("feature int, lowest double, highest double").option("sep", " ").csv(path)

@@ -58,10 +58,42 @@ def test_fasta_and_blast(spark, tmp_path):
 def test_parameters_and_libsvm(spark):
     p = formats.read_parameters("[Parameters]\nalpha = 0.8\n[Pair Configurations]\nx = 0 0 6.03766 0 # *\n[Enzyme]\nspecificity = K|R;.* D;P\n")
     assert p.alpha == 0.8 and p.maxedge == 500 and p.pairs[0].n_mod == 6.03766 and p.enzyme == (("K", ".*"), ("R", ".*"), ("D", "P"))
+    p = formats.read_parameters("[Some Parameters]\nppmstd = 7 ppm\n[Pair Configurations]\nx = 0 0 6 0 None * m.model\n[Models]\nm = a.cfg a.model\n[Diff Mods]\n# = oxidation M 15.9949\n* = silac K 8\n")
+    assert p.ppmstd == 7 and p.pairs[0].n_symbol == "" and p.pairs[0].c_symbol == "*" and p.pairs[0].model == "m.model" and p.others["Models"] == {"m": ("a.cfg", "a.model")} and p.others["Diff Mods"]["*"] == ("silac", "K", "8")
     row = spark.range(1).select(formats.libsvm_line(F.lit(1), [F.lit(2.5), F.lit(None).cast("double"), F.lit(3)], F.lit("c")).alias("l")).first()
     assert row.l == "1 1:2.5 3:3 # c"
 
 
+def test_tables_matrices_and_ranges(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("made by x\nScanF,Peptide,Score\n1,AK,0.5\n2,\"A,G\",1\n")
+    assert [tuple(r) for r in formats.read_scans(spark, str(tmp_path / "r.csv"), ["Score", "Peptide"], skip=1).collect()] == [("0.5", "AK"), ("1", "A,G")]
+    (tmp_path / "s.csv").write_text("a b\tc\n1\t2\n")
+    assert [tuple(r) for r in formats.read_scans(spark, str(tmp_path / "s.csv"), sep="\t").collect()] == [("1", "2")]
+    assert formats.line_counts(spark, str(tmp_path / "s.csv")).first().lines == 2
+    (tmp_path / "m.txt").write_text("# note\n   A  R\nA  4 -1\nR -1  5\n")
+    assert {(r.a, r.b): r.score for r in formats.read_scoring_matrix(spark, str(tmp_path / "m.txt")).collect()} == {("A", "A"): 4, ("A", "R"): -1, ("R", "A"): -1, ("R", "R"): 5}
+    (tmp_path / "x.svm").write_text("1 1:2.5 3:-1 # c\n\n-1 3:4\n2\n")
+    rows = formats.read_libsvm(spark, str(tmp_path / "x.svm"))
+    assert [(r.label, r.features) for r in rows.collect()] == [(1.0, {1: 2.5, 3: -1.0}), (-1.0, {3: 4.0}), (2.0, {})]
+    formats.range_lines(formats.feature_ranges(rows)).write.text(str(tmp_path / "ranges"))
+    assert sorted(tuple(r) for r in formats.read_ranges(spark, str(tmp_path / "ranges")).collect()) == [(1, 2.5, 2.5), (3, -1.0, 4.0)]
+
+
+def test_linkage_by_pieces_is_linkage_of_the_group(spark):
+    rng = random.Random(2)
+    rows = [(g, i, rng.choice([rng.uniform(0, 40), rng.uniform(0, 4000)])) for g in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, k long, v double")
+    got = {(r.g, r.k): (r.single, r.complete) for r in kernels.linkage_clusters(df, "g", "k", "v", 20.0).collect()}
+    average = {(r.g, r.k): r.cluster for r in kernels.agglomerative_clusters(df, "g", "k", "v", 100.0, 0.8).collect()}
+    for g in range(3):
+        own = sorted((v, k) for h, k, v in rows if h == g)
+        values = np.array([v for v, _ in own])
+        want = list(zip(kernels.linkage_1d(values, 20.0, False).tolist(), kernels.linkage_1d(values, 20.0, True).tolist(), strict=True))
+        assert [got[g, k] for _, k in own] == want
+        assert [average[g, k] for _, k in own] == kernels.average_linkage(1 - np.abs(values[:, None] - values) / 100.0, 0.8).tolist()
+    assert kernels.linkage_clusters(df.limit(0), "g", "k", "v", 20.0).count() == 0
+
+
 def test_average_linkage_and_1d():
     s = np.array([[1, 0.9, 0.1], [0.9, 1, 0.3], [0.1, 0.3, 1]])
     assert kernels.average_linkage(s, 0.5).tolist() == [0, 0, 1]

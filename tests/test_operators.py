@@ -74,8 +74,21 @@ def test_min_max_and_node_score(spark):
 def test_runs_and_pairs(spark):
     df = spark.createDataFrame([(1, i, f) for i, f in enumerate([True, True, False, True])], "k int, i int, f boolean")
     assert rows(sequences.flag_runs(df, "k", ["i"], "f")) == [(1, 0, 2), (1, 3, 4)]
-    near = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 1.1, 1.2, 1.3, 9.0])], "g int, i int, v double")
-    assert rows(sequences.consecutive_pairs(near, "g", ["i"], "v", 0.5)) == [(1, 0, 1), (1, 2, 3)]
+    near = spark.createDataFrame([(1, i, v) for i, v in [(0, 1.0), (1, 1.1), (2, 1.2), (3, 1.3), (4, 9.0), (6, 9.0), (7, 9.0), (8, 9.0)]], "g int, i int, v double")
+    assert rows(sequences.consecutive_pairs(near, "g", "i", "v", 10000.0)) == [(1, 0, 1), (1, 2, 3), (1, 6, 7)]
+    assert rows(sequences.consecutive_pairs(near.limit(0), "g", "i", "v", 10000.0)) == []
+
+
+def test_site_classes(spark):
+    """All 400 pairs of residues (J is among the classes, I isn't)."""
+    want = {}
+    for b in "ACDEFGHJKMNPQRSTVWYI":
+        for a in "ACDEFGHJKMNPQRSTVWYI":
+            hits = [n for n, hit in enumerate([a == "P", b == "P", a == "G", b == "G", a in "RK", b == "H", a == "H", b in "DE", a in "DE", b in "JV", a in "JV", b in "ST", a in "ST", b == "N", a == "N"]) if hit]
+            want[b, a] = 15 if a + b in ("PP", "GG") else min(hits, default=15)
+    df = spark.createDataFrame(list(want), "b string, a string")
+    assert {(r.b, r.a): r.c for r in df.select("b", "a", residues.amino_class(F.col("b"), F.col("a")).alias("c")).collect()} == want
+    assert (want["P", "P"], want["A", "P"], want["G", "P"], want["P", "G"], want["A", "K"], want["K", "A"], want["S", "D"], want["A", "N"]) == (15, 0, 0, 1, 4, 15, 8, 14)
 
 
 def test_residue_strings_of_any_length(spark):
