@@ -187,11 +187,13 @@ def boost_score(spark, d):
     return t.table(spark, d, "embeddings").select("vec_id", F.round(scores.boost_score(scores.doubles("embedding"), STUMPS), 6).alias("score"))
 
 
-@query("""with s as (select case when label < 5 then 1.0 else -1.0 end coef, embedding e from embeddings where vec_id < 16)
+@query("""with m as (select label, i, avg(embedding[i]::double) v from (select label, embedding, unnest(range(1, 65)) i from embeddings) group by 1, 2), s as (select case when label < 5 then 1.0 else -1.0 end coef, list(v order by i) e from m group by label)
 select vec_id, round(sum(coef * exp(-0.5 * list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - e[i]::double) * (embedding[i]::double - e[i]::double))))) - 0.1, 6)::double decision from embeddings, s group by vec_id""")
 def rbf_svm_score(spark, d):
     e = t.table(spark, d, "embeddings")
-    support = e.where("vec_id < 16").select(F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("coef"), scores.doubles("embedding").alias("sv"))  # the model: 16 vectors
+    means = e.select("label", F.posexplode(scores.doubles("embedding")).alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
+    support = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("sv"))  # the model: a mean vector for each label
+    support = support.select(F.when(F.col("label") < 5, 1.0).otherwise(-1.0).alias("coef"), "sv")
     rows = e.select("vec_id", scores.doubles("embedding").alias("x"))
     return scores.rbf_decision(rows, "vec_id", "x", support, 0.5, 0.1).withColumn("decision", F.round("decision", 6))
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.residues import PROTON
+
 PEAKS = T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())]))
-PROTON = 1.00727638
 #: The columns of a BLAST table.
 BLAST = (
     "qid string, sid string, E double, N int, Sprime double, S double, alignlen int, nident int, npos int, nmism int, pcident double, pcpos double, "
