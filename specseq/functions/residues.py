@@ -53,6 +53,11 @@ def ladder(sequence: Column) -> Column:
     return F.slice(sums, 1, F.greatest(F.size(masses) - 1, F.lit(0)))
 
 
+def prefix_masses(sequence: Column) -> Column:
+    """Masses of all prefixes, from 0 to the whole; null from the first letter on that is no residue."""
+    return F.aggregate(F.transform(letters(sequence), residue_mass), F.array(F.lit(0.0)), lambda t, m: F.concat(t, F.array(F.element_at(t, -1) + m)))
+
+
 def amino_class(before: Column, after: Column) -> Column:
     """Class of a site from the residues at its sides, by SITE_CLASSES."""
     case = F.when((before == after) & before.isin("P", "G"), OTHER_SITE)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import residues as r
-from ..operators import kernels
+from ..operators import alignments, kernels
 from ..sources import tables as t
 
 
@@ -24,7 +24,7 @@ def linkage_clusters(spark, d):
 
 
 def affine_align(spark, d):
-    return kernels.pairwise(_name_pairs(spark, d), kernels.affine_score, "seq_a", "seq_b", "score", "double")
+    return alignments.affine_alignments(_name_pairs(spark, d), "seq_a", "seq_b", 1.0, -1.0, -1.5, -0.5).drop("a_row", "b_row")
 
 
 def longest_common_substring(spark, d):
