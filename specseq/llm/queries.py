@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, jaccard, packing, quality, repeats, tiff, token_counts, toxicity, warc
+from . import alignment, bpe, html_text, jaccard, near_vectors, packing, quality, ranking, repeats, tiff, token_counts, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -100,7 +100,60 @@ def op9_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op11_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+OP11_SQL = """
+with recursive e as (
+  select row_number() over () r, vec_id, label, list_transform(embedding, lambda v: v::double) v from embeddings
+), u as (
+  select r, vec_id, label, v, len(v) n, sqrt(list_sum(list_transform(v, lambda x: x * x))) size from e
+  where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), links as (
+  select a.r a, b.r b from u a join u b on a.label = b.label and a.n = b.n and a.r <> b.r where list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93
+), reach as (select r a, r b from e union select x.a, l.b from reach x join links l on x.b = l.a),
+named as (select x.a r, min(e.vec_id) component_id from reach x join e on e.r = x.b group by x.a)
+select e.vec_id, (select count(*) from links where links.a = e.r)::bigint n_links, component_id, coalesce(e.vec_id = component_id, false) kept
+from e join named using (r)
+"""
+
+
+def op12_automaton_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents
+), c as (select count(*) filter (len(w) > 0) n_docs, sum(len(w))::bigint n_all from d),
+tf as (select r, term, count(*) tf from (select r, unnest(w) term from d) group by r, term),
+q as (
+  select item_id, term, count(*) repeats from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark where item_id is not null)
+  group by item_id, term
+), df as (select term, count(*) df from tf group by term),
+w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint w from df, c),
+m as (select r, doc_id, 75 + (25 * len(w)::hugeint * n_docs) // n_all m from d, c where len(w) > 0),
+s as (
+  select item_id, doc_id, r, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score
+  from q join tf using (term) join w using (term) join m using (r) where doc_id is not null group by item_id, doc_id, r
+), ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int rank, doc_id, score from s where score > 0)
+select * from ranked where rank <= 20
+"""
+
+
+def op13_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    aligned = alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.with_corpus_counts(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
+    "op11_spherical_cells": op11_spherical_cells,
+    "op12_automaton_search": op12_automaton_search,
+    "op13_diagonal_runs": op13_diagonal_runs,
     "op1_warc_revisits": op1_warc_revisits,
     "op2_run_length_index": op2_run_length_index,
     "op3_tiff_pages": op3_tiff_pages,
@@ -112,4 +165,4 @@ QUERIES = {
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_bpe_segment_tree": op9_bpe_segment_tree,
 }
-SQL = {"op1_warc_revisits": OP1_SQL, "op5_partenum_join": OP5_SQL}
+SQL = {"op1_warc_revisits": OP1_SQL, "op5_partenum_join": OP5_SQL, "op11_spherical_cells": OP11_SQL, "op12_automaton_search": OP12_SQL}
