@@ -1,15 +1,17 @@
 """Main text of web pages from flat blocks that a decision tree classifies.
 
 A page is cut to text blocks at block-level tags. A block's features are its word
-count and link density, those of the blocks before and after it, and, as further
-evidence beside them, what the tags and names around it say. A block at the page's
-edge is its own neighbour there. The tree is grown here on labelled_pages(), a small
-labelled table of pages in several layouts and languages; nothing else decides.
+count and link density, and those of the blocks before and after it; a block at the
+page's edge is its own neighbour there. The tree is grown here on labelled_pages(), a
+small labelled table of pages in several layouts and languages: it splits by words and links
+first, and asks what the tags and names around a block say where these can't tell, as
+a long comment is a text like any other. Nothing else decides.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from dataclasses import dataclass
 
@@ -31,9 +33,9 @@ ASIDE_TAGS = {"nav", "aside", "footer", "form", "header", "dialog", "menu"}
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription "
     "signup sidebar widget widgets related recommended trending share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer masthead toolbar topbar pagination pager comment comments commentlist "
-    "disqus reply replies respond login form copyright skip hidden complementary contentinfo".split()
+    "disqus reply replies respond login form copyright skip hidden complementary contentinfo notice notices notification notifications".split()
 )
-WEAK_WORDS = set("notice notices notification alert discussion legal disclaimer tags header search".split())
+WEAK_WORDS = set("alert discussion legal disclaimer tags header search".split())
 COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "disqus", "respond"}
 MAIN_WORDS = {"articlebody", "story", "entry", "post"}
 #: An element of the first closes an open one of the second, up to a border.
@@ -179,6 +181,8 @@ def _close(stack: list[Open], tags: set[str], border: set[str]) -> None:
 
 
 FEATURES = "words density words_before density_before words_after density_after heading inside page_inside aside".split()
+#: The first of them are of words and links. Splits that are by these alone, the least rows at their sides, and the depth of the tree.
+N_TEXT_FEATURES, TEXT_DEPTH, FEW, MOST_DEPTH = 6, 3, 120, 16
 
 
 def block_features(found: list[Block]) -> list[tuple]:
@@ -190,29 +194,44 @@ def block_features(found: list[Block]) -> list[tuple]:
     return rows
 
 
-def grow(rows: list[tuple], labels: list[int], depth: int = 12, least: int = 2):
-    """A classification tree by Gini impurity: (feature, cut, at most, above), or the share of label 1 in a leaf."""
-    share = sum(labels) / len(labels)
-    if depth == 0 or share in (0.0, 1.0):
-        return share
+def _best_split(rows: list[tuple], labels: list[int], features: range, least: int):
+    """(impurity left, feature, cut) of the best split by one of the features, None if there is none."""
     best = None
-    for f in range(len(rows[0])):
+    for f in features:
         order = sorted(range(len(rows)), key=lambda i: rows[i][f])
-        ones = 0
+        ones, every = 0, sum(labels)
         for k in range(1, len(order)):
             ones += labels[order[k - 1]]
             low, high = rows[order[k - 1]][f], rows[order[k]][f]
             if low == high or k < least or len(order) - k < least:
                 continue
-            rest = sum(labels) - ones
-            cost = k * (ones / k) * (1 - ones / k) + (len(order) - k) * (rest / (len(order) - k)) * (1 - rest / (len(order) - k))
+            rest = every - ones
+            cost = ones * (1 - ones / k) + rest * (1 - rest / (len(order) - k))
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, f, (low + high) / 2)
-    if best is None or best[0] >= len(labels) * share * (1 - share) - 1e-12:
+    return best
+
+
+def grow(rows: list[tuple], labels: list[int], depth: int = 0):
+    """A classification tree by Gini impurity: (feature, cut, at most, above), or the share of label 1 in a leaf.
+
+    The first TEXT_DEPTH splits are by words and links, with sides of a FEW per cent of the table at least. Below them what tags
+    and names say is asked first, and words and links again for what these leave open.
+    """
+    share = sum(labels) / len(labels)
+    if depth == MOST_DEPTH or share in (0.0, 1.0):
+        return share
+    text, said = range(N_TEXT_FEATURES), range(N_TEXT_FEATURES, len(rows[0]))
+    tries = [(text, FEW)] if depth < TEXT_DEPTH else []
+    for features, least in (*tries, (said, 2), (text, 2)):
+        best = _best_split(rows, labels, features, least)
+        if best and best[0] < len(labels) * share * (1 - share) - 1e-12:
+            break
+    else:
         return share
     _, f, cut = best
     sides = [[i for i in range(len(rows)) if (rows[i][f] <= cut) == low] for low in (True, False)]
-    return (f, cut, *[grow([rows[i] for i in side], [labels[i] for i in side], depth - 1, least) for side in sides])
+    return (f, cut, *[grow([rows[i] for i in side], [labels[i] for i in side], depth + 1) for side in sides])
 
 
 def decide(tree, row: tuple) -> float:
@@ -230,6 +249,10 @@ TEXTS = [
 ]
 
 
+#: Words of blocks on some of the labelled pages, and how many such pages of each layout there are for a language.
+LENGTHS, PAGES = (1, 2, 3, 5, 8, 12, 18, 25, 35, 50, 80, 130, 220, 400), 12
+
+
 def labelled_pages() -> list[str]:
     """The labelled table: pages whose article blocks are in elements with data-m."""
     pages = []
@@ -246,9 +269,25 @@ def labelled_pages() -> list[str]:
             mixed = "".join(cut(k) for k in order)
             pages += [
                 f"<nav>{menu}</nav><div class=ad>{cut(order[4])}</div><article data-m><h1>{head}</h1>{mixed}</article><div class=promo>{mixed}</div><div>{mixed}</div><footer>{line}</footer>",
-                f"<div>{mixed}</div><main data-m>{mixed}<p class=notice>{short}</p>{mixed}</main><aside>{mixed}</aside><div class=legal>{mixed}</div><form>{mixed}</form>",
+                f"<div>{mixed}</div><main><div data-m>{mixed}</div><p class=notice>{short}</p><div data-m>{mixed}</div></main><aside>{mixed}</aside><div class=legal>{mixed}</div><form>{mixed}</form>",
                 f"<div class=comments>{mixed}</div><p>{row}</p><div class=cookie>{mixed}</div><div>{row}</div>",
             ]
+        # Blocks of any lengths in the article and in boxes beside it, with names that say nothing.
+        rng = random.Random(len(a))
+        say = lambda k: cut(k, " ".join([a, b, c] * (1 + k // 20)) if " " in a else (a + b + c) * (1 + k // 40))
+        some = lambda n: "".join(say(rng.choice(LENGTHS)) for _ in range(n))
+        for _ in range(PAGES):
+            name, few, n = rng.choice(("x1", "content", "col-b", "k9 z")), say(rng.randint(2, 12)), rng.randint(2, 9)
+            body, bottom = some(n), rng.choice((line, f"{line} {short}", f"{line} {a}"))
+            marked = body.replace("<p>", "<p data-m>")
+            pages += [
+                f"<nav>{menu}</nav><div class=ad>{few}</div><article data-m><h1>{head}</h1>{body}</article><footer>{bottom}</footer>",
+                f"<nav>{menu}</nav><div class='{name}'>{say(rng.randint(2, 9))}</div><article data-m><h1>{' '.join(c.split()[: rng.randint(3, 14)]) or head}</h1>{body}</article><footer>{bottom}</footer>",
+                f"<header>{rng.choice((line, menu, row))}</header><main data-m><h1>{head}</h1>{body}</main><aside>{some(3)}</aside><div class=comments>{some(4)}</div><footer>{bottom}</footer>",
+                f"<header>{rng.choice((line, menu, row))}</header><div class='{name}'><h2 data-m>{head}</h2>{marked}<p data-m>{short}</p></div><div class=comments>{some(3)}</div><footer>{bottom}</footer>",
+                f"{menu}<div class='{name}'><h1 data-m>{head}</h1>{marked}</div>{menu}<p>{row}</p>",
+                f"<div class=sidebar>{some(3)}</div><div class='{name}'>{marked}</div><div class=related>{menu}{some(2)}</div><form>{some(2)}</form>",
+            ]
         for body in (f"<p>{a}</p><p>{b}</p><p>{short}</p><p>{c} {a}</p>", f"<p>{short}</p><p>{c}</p>", f"<p>{a} {b} {c}</p>"):
             marked = body.replace("<p>", "<p data-m>")
             pages += [
@@ -259,7 +298,7 @@ def labelled_pages() -> list[str]:
                 f"<form><label>{labels[0]}</label><p>{notice}</p></form><article data-m>{body}<table><tr><td>{head}</td><td>{labels[2]}</td></tr></table></article><div id=sidebar><p>{b}</p></div>",
                 f"<article><div data-m><h1>{head}</h1>{body}</div><aside><p>{a}</p></aside><p data-m>{b}</p><div class=newsletter><p>{notice}</p></div><footer><p>{line}</p></footer></article>",
                 f"<nav><p>{a}</p></nav><div class=advert>{b}</div><article data-m><h1>{head}</h1><p>{short}</p>{body}</article><section id=comments><article class=comment><p>{c}</p></article><article class=comment><p>{short}</p></article></section>",
-                f"<article data-m><p class=legal>{short}</p>{body}<p class=notice>{b}</p><div id=discussion><p>{short}</p>{c}</div></article><div class=legal>{line}</div>",
+                f"<article><div data-m><p class=legal>{short}</p>{body}</div><p class=notice>{b}</p><div id=discussion data-m><p>{short}</p>{c}</div></article><div class=legal>{line}</div>",
                 f"<nav>{menu}</nav><article data-m><h1>{two}</h1>{body}<p>{two}</p><ul><li>{links[3]}</li></ul></article><div class=notice>{notice}</div>",
                 # By names.
                 f"<div id=menu>{row}</div><div id=story><h1 data-m>{head}</h1>{marked}<div class=share>{two}</div></div><div class=comments><p>{short}</p><p>{a}</p></div><div class=copyright>{line}</div>",

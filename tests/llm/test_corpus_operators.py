@@ -489,7 +489,9 @@ def test_main_text_keeps_what_belongs_to_the_article():
     assert html_text.main_text(f"<div><p>{long}</p></div>", tree) == long
     assert html_text.main_text(f"<p>{long}</p><p>Yes</p>", tree) == f"{long}\n\nYes"
     page = f"<article><p class='legal'>{long}</p><p class='notice'>Two words</p><div id='discussion'>One</div><section class='discussion'>{long}</section><math><mi>x</mi></math></article>"
-    assert html_text.main_text(page, tree) == f"{long}\n\nTwo words\n\nOne\n\n{long}\n\nx"
+    assert html_text.main_text(page, tree) == f"{long}\n\nOne\n\n{long}\n\nx"  # a notice is no part of the article
+    page = f"<header><a href=/>Home</a> <a href=/b>Sport</a></header><div class=content><h2>Heading</h2><p>{long} {long}</p><p>OK.</p></div><div class=comments><p>{long}</p><p>So true</p></div><footer>Copyright us 2001</footer>"
+    assert html_text.main_text(page, tree) == f"Heading\n\n{long} {long}\n\nOK."
     for tag in ("button", "select", "svg", "object"):
         lost = html_text.main_text(f"<article><p>{long}</p><{tag}>b<p>{long}</p><{tag}>c<p>{long}</p></article>", tree)
         assert lost.count(long) == 3, tag
@@ -516,6 +518,24 @@ def test_main_text_held_out():
     assert right >= 0.97 * total
 
 
+def test_given_pages_are_decided_by_words_and_links_first(spark):
+    """Most paths through the tree test words or links of a block or its neighbours, and noise for names changes few verdicts."""
+    tree, rng = html_text.trained(), random.Random(3)
+    tested = changed = total = 0
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        page = row.html or ""
+        noise = re.sub('class="[^"]*"', lambda m: f'class="q{rng.randrange(10**6)}"', page)
+        for x, y in zip(html_text.block_features(html_text.blocks(page)), html_text.block_features(html_text.blocks(noise)), strict=True):
+            at, path = tree, set()
+            while isinstance(at, tuple):
+                path.add(at[0])
+                at = at[2] if x[at[0]] <= at[1] else at[3]
+            tested += min(path) < html_text.N_TEXT_FEATURES
+            changed += (at > 0.5) != (html_text.decide(tree, y) > 0.5)
+            total += 1
+    assert tested >= total / 2 and changed <= total / 100
+
+
 # pipeline
 def test_pipeline_stage_by_stage(spark):
     folder = "/root/testdata/sf0.001"
