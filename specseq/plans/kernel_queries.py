@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import residues as r
@@ -31,13 +30,6 @@ def longest_common_substring(spark, d):
     return kernels.pairwise(_name_pairs(spark, d), kernels.longest_common, "seq_a", "seq_b", "common", "string")
 
 
-def spectral_align_k(spark, d):
-    pairs = t.scan_pairs(spark, d)
-    lists = t.peaks(spark, d).groupBy("scan").agg(F.array_sort(F.collect_list("mz")).alias("m"))
-    met = pairs.join(lists.select(F.col("scan").alias("light"), F.col("m").alias("ma")), "light").join(lists.select(F.col("scan").alias("heavy"), F.col("m").alias("mb")), "heavy")
-    return kernels.pairwise(met.select("light", "heavy", "ma", "mb"), lambda a, b: kernels.shifted_matches(np.array(a), np.array(b), 1, 500.0), "ma", "mb", "matches", "long").drop("ma", "mb")
-
-
 def suboptimal_paths(spark, d):
     return kernels.spectrum_paths(t.peaks(spark, d), 2000.0, 60000.0, 0.9, 1000.0)
 
@@ -47,11 +39,6 @@ def unique_clusters_fold(spark, d):
     return kernels.unique_fold(rows, "o_custkey", ["o_orderkey"], "o_totalprice", "score", 20000.0, 100000.0)
 
 
-def deisotope(spark, d):
-    scaled = t.peaks(spark, d).withColumn("mz", F.col("mz") / 100)
-    return kernels.deisotope(scaled, t.totals(spark, d), 2000.0)
-
-
 _AA = "".join(r.RESIDUES)
 SQL = {
     "longest_common_substring": f"""with s as (select p_partkey, regexp_replace(translate(upper(p_name), 'LUZB', 'ICQN'), '[^{_AA}]', '', 'g') seq from part), p as (select x.p_partkey a, x.seq seq_a, y.p_partkey b, y.seq seq_b from s x join s y on y.p_partkey = x.p_partkey + 1),
@@ -66,4 +53,4 @@ st as (select o_custkey, i, 0 part, o_orderkey kept, o_totalprice mass, score, 1
     not (abs(v.o_totalprice - mass) < 20000 or abs(abs(v.o_totalprice - mass) - 100000) < 20000) or v.score > st.score takes from st join v on v.o_custkey = st.o_custkey and v.i = st.i + 1) s)
 select o_custkey, kept o_orderkey, mass o_totalprice, score, n from (select *, row_number() over (partition by o_custkey, part order by i desc) k from st) where k = 1""",
 }
-QUERIES = {f.__name__: f for f in (agglomerative_clusters, linkage_clusters, affine_align, longest_common_substring, spectral_align_k, suboptimal_paths, unique_clusters_fold, deisotope)}
+QUERIES = {f.__name__: f for f in (agglomerative_clusters, linkage_clusters, affine_align, longest_common_substring, suboptimal_paths, unique_clusters_fold)}

@@ -128,9 +128,6 @@ def test_alignments():
         assert kernels.affine_score(a, b) == pytest.approx(slow_affine(a, b))
         subs = [a[i:j] for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b]
         assert len(kernels.longest_common(a, b)) == max(map(len, subs), default=0)
-    x = np.array([1.0, 2.0, 4.0, 7.0])
-    assert kernels.shifted_matches(x, x + 3, 0, 0.1) == 4 and kernels.shifted_matches(x, np.array([4.0, 5.0, 9.0, 12.0]), 1, 0.1) == 4
-    assert kernels.shifted_matches(x, np.array([4.0, 5.0, 9.0, 12.0]), 0, 0.1) == 2
 
 
 def all_paths(mass, low, high):
@@ -161,14 +158,6 @@ def test_paths_against_all_paths():
             assert path == []
 
 
-def test_deisotoping():
-    n = kernels.NEUTRON
-    mz = np.array([300.0, 300.0 + n / 2, 300.0 + n, 500.0, 500.0 + n, 700.0])
-    m, i = kernels.deisotoped(mz, np.array([100.0, 60.0, 20.0, 50.0, 20.0, 30.0]), 2000.0)
-    assert np.allclose(m, [500.0, 600.0 - kernels.PROTON, 700.0][: len(m)]) and i[1] == 180.0
-    assert len(kernels.deisotoped(np.array([]), np.array([]), 10.0)[0]) == 0
-
-
 def test_fold(spark):
     df = spark.createDataFrame([(1, 1, 100.0, 5), (1, 2, 100.05, 9), (1, 3, 106.1, 1), (1, 4, 300.0, 2)], "g long, k long, m double, s long")
     got = kernels.unique_fold(df, "g", ["k"], "m", "s", 0.1, 6.03766).orderBy("k").collect()
