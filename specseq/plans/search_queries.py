@@ -39,7 +39,7 @@ def strong_components(spark, d):
 
 @query(f"""with recursive {LINKS}, ix as (select node, row_number() over (order by node) i from nodes), el as (select src, dst, weight, x.i a, y.i b, row_number() over (order by weight, src, dst) n from links join ix x on x.node = src join ix y on y.node = dst),
 st as (select 0::bigint n, (select list(i order by i) from ix) labels, false taken union all
-  select el.n, case when labels[a] <> labels[b] then list_transform(labels, x -> case when x = labels[b] then labels[a] else x end) else labels end, labels[a] <> labels[b] from st join el on el.n = st.n + 1)
+  select el.n, case when labels[a] <> labels[b] then list_transform(labels, lambda x: case when x = labels[b] then labels[a] else x end) else labels end, labels[a] <> labels[b] from st join el on el.n = st.n + 1)
 select src, dst, weight from st join el using (n) where taken""")
 def spanning_forest(spark, d):
     return graph_search.spanning_forest(_deals(spark, d))
