@@ -8,20 +8,15 @@ from pyspark.sql.window import Window
 
 from ..functions.residues import letters, residue_mass
 from .graphs import _kept
-from .sequences import tag_runs
+from .sequences import tag_runs, windows
 
-#: Letters of a reference that are cut out at once: a substring of a long text costs as much as the text is long.
-PIECE = 1024
 #: References of a seed beyond which it is hot, and the parts that a hot seed's references are dealt to.
 HOT_SEED, SALTS = 2048, 32
 
 
 def seeds(rows: DataFrame, key: str, sequence: str, k: int) -> DataFrame:
     """key, place (from 0), seed: every string of k letters of each sequence; none of null or of a shorter one."""
-    size = F.length(sequence)
-    pieces = rows.where(size >= k).select(F.col(key), F.col(sequence).alias("_s"), F.explode(F.sequence(F.lit(0), F.floor((size - k) / PIECE).cast("int"))).alias("_p"))
-    cut = pieces.select(key, (F.col("_p") * PIECE).alias("_from"), F.substr("_s", F.col("_p") * PIECE + 1, F.lit(PIECE + k - 1)).alias("_piece"))
-    return cut.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.length("_piece") - k + 1), lambda i: F.substr(F.col("_piece"), i, F.lit(k)))).alias("_at", "seed"), "_from").select(key, (F.col("_from") + F.col("_at")).alias("place"), "seed")
+    return windows(rows, key, sequence, k, "place", "seed")
 
 
 def seed_matches(queries: DataFrame, query: str, query_sequence: str, references: DataFrame, reference: str, reference_sequence: str, k: int) -> DataFrame:

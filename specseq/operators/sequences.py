@@ -27,13 +27,27 @@ def adjacent(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     return rows.select(key, F.posexplode(F.arrays_zip(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))).alias("before"), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))).alias("after"))).alias("pos", "z")).select(key, (F.col("pos") + 1).alias("pos"), "z.before", "z.after")
 
 
+#: Characters that are cut out of a text at once, and of those again: a substring costs as much as what lies before it in its string.
+LONG_PIECE, SHORT_PIECE = 4096, 64
+
+
+def _pieces(rows: DataFrame, key: str, text: str, at: str, k: int, size: int) -> DataFrame:
+    """key, text, at: texts of at least k characters cut to pieces of ``size`` and k - 1 more; at is where a piece starts, counted from the column's value on."""
+    parts = rows.where(F.length(text) >= k).select(key, F.col(text).alias("_t"), F.col(at).alias("_at"), F.explode(F.sequence(F.lit(0), F.floor((F.length(text) - k) / size).cast("int"))).alias("_p"))
+    return parts.select(key, F.substr("_t", F.col("_p") * size + 1, F.lit(size + k - 1)).alias(text), (F.col("_at") + F.col("_p") * size).alias(at))
+
+
+def windows(rows: DataFrame, key: str, text: str, k: int, place: str, name: str) -> DataFrame:
+    """key, place (from 0), name: every substring of k characters of each text, with repetition; none of null or of a shorter text."""
+    whole = rows.select(key, F.col(text).alias("_text"), F.lit(0).alias("_from"))
+    cut = _pieces(_pieces(whole, key, "_text", "_from", k, LONG_PIECE), key, "_text", "_from", k, SHORT_PIECE)
+    each = F.transform(F.sequence(F.lit(1), F.length("_text") - k + 1), lambda i: F.substr(F.col("_text"), i, F.lit(k)))
+    return cut.select(key, "_from", F.posexplode(each).alias("_i", name)).select(key, (F.col("_from") + F.col("_i")).alias(place), name)
+
+
 def kmers(rows: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """key and each substring of k characters with repetition."""
-    x = F.filter(F.split(text, ""), lambda c: c != "")
-    split = rows.select(key, x.alias("_x"))
-    # A string that would reach over the end is null.
-    joined = F.transform("_x", lambda c, i: F.concat(c, *[F.get(F.col("_x"), i + j) for j in range(1, k)]))
-    return split.select(key, F.explode(joined).alias("kmer")).where("kmer is not null")
+    return windows(rows, key, text, k, "_place", "kmer").drop("_place")
 
 
 def match_probability(kmer_rows: DataFrame, by: str) -> DataFrame:

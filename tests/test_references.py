@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from specseq.functions.residues import RESIDUES
 from specseq.operators import references as refs
+from specseq.operators import sequences
 
 
 def brute(queries, records, k, drift):
@@ -34,7 +35,8 @@ def brute(queries, records, k, drift):
 @pytest.mark.parametrize("hot", [10**6, 3])
 def test_best_references_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(refs, "HOT_SEED", hot)  # with 3 nearly every seed is dealt to several parts
-    monkeypatch.setattr(refs, "PIECE", 7)
+    monkeypatch.setattr(sequences, "LONG_PIECE", 14)
+    monkeypatch.setattr(sequences, "SHORT_PIECE", 5)
     rng = random.Random(9)
     say = lambda n: "".join(rng.choice("AGP") for _ in range(n))
     records = [(r, say(rng.randint(0, 40))) for r in range(12)] + [(50, None), (51, "AG"), (52, "AGPAGPAGPAGP"), (53, "AGPAGPAGPAGP")]
