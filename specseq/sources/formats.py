@@ -114,7 +114,11 @@ class Parameters:
     subgraphcut: float = 300.0
     pairs: tuple[PairConfiguration, ...] = ()
     enzyme: tuple[tuple[str, str], ...] = field(default=())
-    #: Of each other section (models, cluster configuration, amino acids, static and diff mods, columns) the words of each entry.
+    #: Columns by the role that they play, models as (configuration, model), and settings of the clusters, by name.
+    columns: dict[str, str] = field(default_factory=dict)
+    models: dict[str, tuple[str, str]] = field(default_factory=dict)
+    clusters: dict[str, str] = field(default_factory=dict)
+    #: Of each other section (amino acids, static and diff mods) the words of each entry.
     others: dict[str, dict[str, tuple[str, ...]]] = field(default_factory=dict)
 
 
@@ -122,15 +126,16 @@ def read_parameters(text: str) -> Parameters:
     """Parameters from INI text.
 
     The section whose name is or ends with Parameters has numbers by name; [Pair Configurations] name = four numbers, two symbols (None, 0 or False for
-    none) and a model; [Enzyme] specificity = before;after (| for alternatives, .* for any). Entries of other sections are split to words.
+    none) and a model; [Enzyme] specificity = before;after (| for alternatives, .* for any); [Columns] role = column, [Models] name = configuration model and
+    [Cluster Configuration] name = value take the first words. Entries of other sections are split to words.
     """
     ini = configparser.ConfigParser(interpolation=None)
     ini.read_string(text)
-    known, pairs, sides, others = {}, [], [], {}
+    known, pairs, sides, others, columns, models, clusters = {}, [], [], {}, {}, {}, {}
     for name in ini.sections():
         entries = dict(ini[name])
         if name.split()[-1:] == ["Parameters"]:
-            known |= {k: float(v.split()[0]) for k, v in entries.items() if k in Parameters.__dataclass_fields__ and k not in ("pairs", "enzyme", "others")}
+            known |= {k: float(v.split()[0]) for k, v in entries.items() if k in Parameters.__dataclass_fields__ and k not in ("pairs", "enzyme", "others", "columns", "models", "clusters")}
         elif name == "Pair Configurations":
             for pair, value in entries.items():
                 n = value.split()
@@ -140,9 +145,15 @@ def read_parameters(text: str) -> Parameters:
             for motif in entries["specificity"].split():
                 before, after = motif.split(";")
                 sides += [(b, a) for b in before.split("|") for a in after.split("|")]
+        elif name == "Columns":
+            columns |= {k: v.split()[0] for k, v in entries.items()}
+        elif name == "Models":
+            models |= {k: (v.split()[0], v.split()[1]) for k, v in entries.items()}
+        elif name == "Cluster Configuration":
+            clusters |= {k: v.split()[0] for k, v in entries.items()}
         else:
             others[name] = {k: tuple(v.split()) for k, v in entries.items()}
-    return Parameters(**known, pairs=tuple(pairs), enzyme=tuple(sides), others=others)
+    return Parameters(**known, pairs=tuple(pairs), enzyme=tuple(sides), columns=columns, models=models, clusters=clusters, others=others)
 
 
 def read_scans(spark: SparkSession, path: str, fields: list[str] | None = None, sep: str = ",", skip: int = 0) -> DataFrame:

@@ -59,7 +59,7 @@ def test_parameters_and_libsvm(spark):
     p = formats.read_parameters("[Parameters]\nalpha = 0.8\n[Pair Configurations]\nx = 0 0 6.03766 0 # *\n[Enzyme]\nspecificity = K|R;.* D;P\n")
     assert p.alpha == 0.8 and p.maxedge == 500 and p.pairs[0].n_mod == 6.03766 and p.enzyme == (("K", ".*"), ("R", ".*"), ("D", "P"))
     p = formats.read_parameters("[Some Parameters]\nppmstd = 7 ppm\n[Pair Configurations]\nx = 0 0 6 0 None * m.model\n[Models]\nm = a.cfg a.model\n[Diff Mods]\n# = oxidation M 15.9949\n* = silac K 8\n")
-    assert p.ppmstd == 7 and p.pairs[0].n_symbol == "" and p.pairs[0].c_symbol == "*" and p.pairs[0].model == "m.model" and p.others["Models"] == {"m": ("a.cfg", "a.model")} and p.others["Diff Mods"]["*"] == ("silac", "K", "8")
+    assert p.ppmstd == 7 and p.pairs[0].n_symbol == "" and p.pairs[0].c_symbol == "*" and p.pairs[0].model == "m.model" and p.models == {"m": ("a.cfg", "a.model")} and p.others["Diff Mods"]["*"] == ("silac", "K", "8")
     row = spark.range(1).select(formats.libsvm_line(F.lit(1), [F.lit(2.5), F.lit(None).cast("double"), F.lit(3)], F.lit("c")).alias("l")).first()
     assert row.l == "1 1:2.5 3:3 # c"
 
