@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import _kept, both_ways
+from .graphs import _kept, both_ways, components
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -169,3 +169,89 @@ def maximal_matching(edges: DataFrame) -> DataFrame:
     for part in taken:
         result = result.unionByName(part)
     return result
+
+
+def vertex_cover(edges: DataFrame) -> DataFrame:
+    """node: nodes that meet every edge (src, dst, weight) between different nodes: the ends of maximal_matching(), at most twice as many as need be."""
+    return maximal_matching(edges).select(F.explode(F.array("src", "dst")).alias("node"))
+
+
+def attracting_components(edges: DataFrame) -> DataFrame:
+    """node, component of the strong components that no edge leaves: where a walk ends up."""
+    strong = _kept(strong_components(edges))
+    a, b = strong.select(F.col("node").alias("src"), F.col("component").alias("_a")), strong.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+    left = edges.select("src", "dst").join(a, "src").join(b, "dst").where("_a <> _b").select(F.col("_a").alias("component")).distinct()
+    return strong.join(left, "component", "left_anti").select("node", "component")
+
+
+def flow_hierarchy(edges: DataFrame) -> DataFrame:
+    """One row: edges (different ones, loops too), and hierarchy, the share of them that are in no cycle; null without an edge."""
+    strong = _kept(strong_components(edges))
+    a, b = strong.select(F.col("node").alias("src"), F.col("component").alias("_a")), strong.select(F.col("node").alias("dst"), F.col("component").alias("_b"))
+    return edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").agg(F.count("*").alias("edges"), F.avg((F.col("_a") != F.col("_b")).cast("double")).alias("hierarchy"))
+
+
+def is_acyclic(edges: DataFrame) -> bool:
+    """Whether a directed graph has no cycle: nodes without an edge into them are taken off until none is left, or all edges are gone."""
+    live = _kept(edges.select("src", "dst").distinct())
+    while not live.isEmpty():
+        fewer = _kept(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+        if fewer.count() == live.count():
+            return False
+        live = fewer
+    return True
+
+
+def two_colouring(edges: DataFrame) -> DataFrame:
+    """node, component, colour, bipartite: 0 or 1 by the steps from the least node of the component, and whether no edge of the component joins equal colours. A node with an edge to itself makes its component no bipartite one."""
+    two = _kept(both_ways(edges))
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    seen = _kept(components(edges).withColumn("colour", F.lit(None).cast("int")))
+    alone = loops.join(seen, "node", "left_anti").select("node", F.col("node").alias("component"))
+    front, level = _kept(seen.where("node = component").select("node", F.lit(0).alias("colour"))), 0
+    done = front
+    while not front.isEmpty():
+        level += 1
+        front = _kept(two.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(done, "node", "left_anti").select("node", F.lit(level % 2).alias("colour")))
+        done = _kept(done.unionByName(front))
+    coloured = _kept(seen.drop("colour").join(done, "node"))
+    a, b = coloured.select(F.col("node").alias("src"), "component", F.col("colour").alias("_a")), coloured.select(F.col("node").alias("dst"), F.col("colour").alias("_b"))
+    odd = two.join(a, "src").join(b, "dst").where("_a = _b").select("component").unionByName(loops.join(coloured, "node").select("component")).distinct().withColumn("_odd", F.lit(True))
+    rows = coloured.join(odd, "component", "left").select("node", "component", "colour", F.col("_odd").isNull().alias("bipartite"))
+    return rows.unionByName(alone.select("node", "component", F.lit(0).alias("colour"), F.lit(False).alias("bipartite")))
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """node, core: the greatest k such that the node is in a part of the undirected graph in which all have at least k neighbours.
+
+    In each round the nodes with at most k neighbours left are taken off with core k; if none has, k rises to the least number that there is.
+    """
+    live, k, found = _kept(both_ways(edges)), 0, []
+    empty = live.select(F.col("src").alias("node"), F.lit(0).cast("long").alias("core")).limit(0)
+    while not live.isEmpty():
+        degree = _kept(live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")))
+        k = max(k, degree.agg(F.min("n")).first()[0])
+        gone = _kept(degree.where(F.col("n") <= k).select("node", F.lit(k).cast("long").alias("core")))
+        found.append(gone)
+        stay = degree.join(gone, "node", "left_anti").select("node")
+        left = _inside(live, stay)
+        # Nodes that stay without a neighbour leave with this k, as all of theirs did.
+        bare = _kept(stay.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(k).cast("long").alias("core")))
+        found.append(bare)
+        live = left
+    result = empty
+    for part in found:
+        result = result.unionByName(part)
+    return result
+
+
+def eigenvector_centrality(edges: DataFrame, rounds: int) -> DataFrame:
+    """node, centrality of an undirected graph after so many rounds: each node gets its neighbours' and its own, brought to a length of 1."""
+    two = _kept(both_ways(edges))
+    rows = two.select(F.col("src").alias("node")).distinct().withColumn("centrality", F.lit(1.0))
+    for _ in range(rounds):
+        given = two.join(rows.select(F.col("node").alias("dst"), F.col("centrality").alias("_c")), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("_c").alias("_got"))
+        raw = _kept(rows.join(given, "node").select("node", (F.col("centrality") + F.col("_got")).alias("_raw")))
+        size = raw.agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_size"))
+        rows = _kept(raw.crossJoin(F.broadcast(size)).select("node", (F.col("_raw") / F.col("_size")).alias("centrality")))
+    return rows

@@ -78,3 +78,49 @@ st as (select 0::bigint n, []::bigint[] used, false taken union all
 select src, dst, weight from st join el using (n) where taken""")
 def maximal_matching(spark, d):
     return graph_search.maximal_matching(_deals(spark, d))
+
+
+@query(f"""with recursive {LINKS}, el as (select src, dst, weight, row_number() over (order by weight, src, dst) n from links),
+st as (select 0::bigint n, []::bigint[] used, false taken union all
+  select el.n, case when list_has_any(used, [src, dst]) then used else list_concat(used, [src, dst]) end, not list_has_any(used, [src, dst]) from st join el on el.n = st.n + 1)
+select unnest([src, dst]) node from st join el using (n) where taken""")
+def vertex_cover(spark, d):
+    return graph_search.vertex_cover(_deals(spark, d))
+
+
+REACH = f"{DEALS}, reach as (select src a, dst b from deals union select r.a, e.dst from reach r join deals e on e.src = r.b), nodes as (select src node from deals union select dst from deals), strong as (select node, coalesce(least(node, min(x.b)), node) component from nodes left join reach x on x.a = node and exists (select 1 from reach y where y.a = x.b and y.b = node) group by node)"
+
+
+@query(f"with recursive {REACH} select node, component from strong s where not exists (select 1 from deals join strong x on x.node = src join strong y on y.node = dst where x.component = s.component and y.component <> s.component)")
+def attracting_components(spark, d):
+    return graph_search.attracting_components(_deals(spark, d))
+
+
+@query(f"with recursive {REACH} select count(*) edges, round(avg((x.component <> y.component)::int), 9) hierarchy from deals join strong x on x.node = src join strong y on y.node = dst")
+def flow_hierarchy(spark, d):
+    return graph_search.flow_hierarchy(_deals(spark, d)).withColumn("hierarchy", F.round("hierarchy", 9))
+
+
+@query(f"""with recursive {LINKS}, walk as (select node start, node, 0 colour from nodes union select start, dst, 1 - colour from walk join two on src = node), least_ as (select node, min(start) component from walk group by 1),
+own as (select l.node, l.component, w.colour from least_ l join walk w on w.node = l.node and w.start = l.component), odd as (select component from own group by node, component having count(*) > 1)
+select node, component, case when component in (select component from odd) then -1 else min(colour) end::int colour, component not in (select component from odd) bipartite from own group by 1, 2""")
+def two_colouring(spark, d):
+    """Colours of the parts; -1 where a part can't be coloured so."""
+    rows = graph_search.two_colouring(_deals(spark, d))
+    return rows.withColumn("colour", F.when(F.col("bipartite"), F.col("colour")).otherwise(-1))
+
+
+ROUNDS = ", ".join(f"r{i} as (select node, c + g c from c{i} join (select src node, sum(c) g from two join c{i} on node = dst group by 1) using (node)), c{i + 1} as (select node, c / sqrt(sum(c * c) over ()) c from r{i})" for i in range(8))
+
+
+@query(f"with {LINKS}, c0 as (select node, 1.0::double c from nodes), {ROUNDS} select node, round(c, 8) centrality from c8")
+def eigenvector_centrality(spark, d):
+    return graph_search.eigenvector_centrality(_deals(spark, d), 8).withColumn("centrality", F.round("centrality", 8))
+
+
+def core_numbers(spark, d):
+    """How deep each part lies in the graph."""
+    return graph_search.core_numbers(_deals(spark, d))
+
+
+QUERIES["core_numbers"] = core_numbers

@@ -234,6 +234,53 @@ def test_searches_equal_brute_force(spark, seed):
                 assert any(a == r.previous and b == k and distance[a] + w == distance[k] for a, b, w in edges)
 
 
+def brute_cores(edges):
+    near = {}
+    for a, b, _ in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    core = {}
+    for k in range(len(near) + 1):
+        left = set(near)
+        while any(len(near[x] & left) < k for x in left):
+            left = {x for x in left if len(near[x] & left) >= k}
+        core |= dict.fromkeys(left, k)
+    return core
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_measures_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = some_edges(rng, 12, 20) + [(30, 31, 1.0), (31, 32, 1.0), (32, 33, 1.0), (40, 40, 1.0), (50, 51, 1.0), (51, 52, 1.0), (52, 50, 2.0)]
+    frame = spark.createDataFrame(edges, "src long, dst long, weight double")
+    assert {r.node: r.core for r in gs.core_numbers(frame).collect()} == brute_cores(edges) and gs.core_numbers(frame).count() == len(brute_cores(edges))
+    cover = {r.node for r in gs.vertex_cover(frame).collect()}
+    assert all(a in cover or b in cover for a, b, _ in edges if a != b)
+    strong = {r.node: r.component for r in gs.strong_components(frame).collect()}
+    leaving = {strong[a] for a, b, _ in edges if strong[a] != strong[b]}
+    assert {(r.node, r.component) for r in gs.attracting_components(frame).collect()} == {(n, c) for n, c in strong.items() if c not in leaving}
+    once = {(a, b) for a, b, _ in edges}
+    h = gs.flow_hierarchy(frame).first()
+    assert h.edges == len(once) and h.hierarchy == pytest.approx(sum(strong[a] != strong[b] for a, b in once) / len(once))
+    assert not gs.is_acyclic(frame) and gs.is_acyclic(frame.where("src < dst")) and gs.is_acyclic(frame.where("false"))
+    rows = {r.node: r for r in gs.two_colouring(frame).collect()}
+    assert rows.keys() == set(strong)
+    for a, b, _ in edges:
+        assert rows[a].component == rows[b].component and (rows[a].colour != rows[b].colour or not rows[a].bipartite)
+    assert rows[33].bipartite and [rows[i].colour for i in (30, 31, 32, 33)] == [0, 1, 0, 1] and not rows[40].bipartite and not rows[50].bipartite
+    nodes = sorted({x for a, b, _ in edges if a != b for x in (a, b)})
+    at = {n: i for i, n in enumerate(nodes)}
+    m = np.eye(len(nodes))
+    for a, b, _ in edges:
+        if a != b:
+            m[at[a], at[b]] = m[at[b], at[a]] = 1
+    v = np.ones(len(nodes))
+    for _ in range(4):
+        v = m @ v / np.linalg.norm(m @ v)
+    assert {r.node: r.centrality for r in gs.eigenvector_centrality(frame, 4).collect()} == pytest.approx(dict(zip(nodes, v)))
+
+
 def test_paths_are_followed_back(spark):
     frame = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 0.5), (9, 1, 1.0)], "src long, dst long, weight double")
     paths = gs.weighted_paths(frame, spark.createDataFrame([(1,)], "node long"), 1.0)
