@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. In local mode (tests) one of our own where it is unset; on a cluster that is an error, as executors don't share their disks."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="specseq-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -31,8 +31,8 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min((float(s) for _, s in vocabulary), default=0.0) - UNKNOWN
         self.byte_fallback = byte_fallback
-        # Words can be counted apart if no piece reaches from a non-mark over a mark.
-        self.apart = not any(MARK in p.lstrip(MARK) for p in last)
+        # Words can be counted apart if no piece reaches from a non-mark over a mark, and sums don't round: else ties would fall otherwise than in a whole text.
+        self.apart = not any(MARK in p.lstrip(MARK) for p in last) and all(s == int(s) and abs(s) < 1 << 32 for s in last.values())
         self.known: dict[str, int] = {}
 
     def count_marked(self, text: str) -> int:

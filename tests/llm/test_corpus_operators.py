@@ -410,6 +410,25 @@ def test_unigram_ties_and_unknowns():
             assert counter.count_marked(t) == len(tokenizer.encode(t).ids), (vocabulary, t)
 
 
+def test_counts_of_whole_texts_with_tied_fractional_scores():
+    """Counts by words are used only where sums don't round, so ties fall as in the library."""
+    from tokenizers import Tokenizer, models
+
+    rng, apart = random.Random(2), 0
+    for trial in range(120):
+        mark = token_counts.MARK
+        pieces = list({rng.choice(["", mark]) + "".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(10)} | {mark, "a", "b"})
+        step = rng.choice([0.1, 0.3, 0.7, 1.0])
+        vocabulary = [("<unk>", 0.0)] + [(p, -step * len(p)) for p in pieces]
+        counter = token_counts.UnigramCounter(vocabulary, byte_fallback=False)
+        tokenizer = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=False))
+        apart += counter.apart
+        for _ in range(12):
+            t = " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 6)))
+            assert counter.count(t) == len(tokenizer.encode(mark + t.replace(" ", mark)).ids), (vocabulary, t)
+    assert 0 < apart < 120
+
+
 # 8 packing
 def test_packing(spark):
     from tokenizers import Tokenizer
