@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the shared folder, or in a folder of our own where none is set."""
+    """df cut from its lineage in the shared folder; in local mode in a folder of our own where none is set, on a cluster that is an error."""
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="specseq-")
