@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.residues import OTHER_SITE, RESIDUES, SITE_CLASSES, amino_class
+from .evidence import graph_nodes
 from .graphs import _kept
+from .ranges import range_join
 from .sequencing import labelled_edges
 
 #: Paths that one batch of rows holds.
@@ -201,6 +203,22 @@ def strongest(nodes: DataFrame, most: int) -> DataFrame:
     return kept.withColumn("place", F.row_number().over(ends.orderBy("mass")) - 1).select("scan", "place", "mass", "score")
 
 
+def paired_graph_nodes(deltas: DataFrame, most: int, tolerance: float) -> DataFrame:
+    """scan (the light one), place, mass, score: the graph of a pair of spectra, from its ``most`` best ranked deltas (light, mass, tier, n, rank, total; a light scan has one pair).
+
+    Deltas whose sorted neighbours are less than ``tolerance`` apart are one node, with their mean as mass. A node's score is what its evidence
+    counts: 4 for an ion of tier 0 down to 1 for one of tier 3. Both ends score 0.
+    """
+    w = Window.partitionBy("scan")
+    order = w.orderBy("mass", "rank")
+    best = graph_nodes(deltas, most).select(F.col("light").alias("scan"), "mass", "rank", "total", ((4 - F.col("tier")) * F.col("n")).cast("double").alias("score"))
+    new = F.coalesce(F.col("mass") - F.lag("mass").over(order) >= tolerance, F.lit(True)).cast("int")
+    runs = best.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = runs.groupBy("scan", "_run").agg(F.avg("mass").alias("mass"), F.sum("score").alias("score")).drop("_run")
+    ends = best.groupBy("scan").agg(F.first("total").alias("total")).select("scan", F.explode(F.array(F.lit(0.0), F.col("total").cast("double"))).alias("mass"), F.lit(0.0).alias("score"))
+    return inner.unionByName(ends).withColumn("place", F.row_number().over(w.orderBy("mass")) - 1).select("scan", "place", "mass", "score")
+
+
 def subgraph_edges(nodes: DataFrame, totals: DataFrame, residues: DataFrame, sites: DataFrame, *, tolerance: float, low: float, high: float, cut: float, most: int, alpha: float, sub_alpha: float, penalties: dict) -> DataFrame:
     """scan, depth, interval_low, interval_high, low, high, label, state of the edges that the search goes through.
 
@@ -243,3 +261,23 @@ def subgraph_edges(nodes: DataFrame, totals: DataFrame, residues: DataFrame, sit
         found = _kept(found.unionByName(fresh))
     state = F.when(F.col("label") != OPEN, "residue").when(F.col("done"), "split").otherwise("open")
     return found.drop("total").join(searched, ["scan", "low", "high"], "left").select("scan", "depth", "interval_low", "interval_high", "low", "high", "label", state.alias("state"))
+
+
+def spelled(paths: DataFrame, ambiguous: str = "X") -> DataFrame:
+    """paths with ``sequence``, the labels one after another, the ambiguous letter for an open edge, and ``open``, the intervals (low, high) that those stand for."""
+    edges = F.transform("labels", lambda x, i: F.struct(x.alias("label"), F.get(F.col("masses"), i).alias("low"), F.get(F.col("masses"), i + 1).alias("high")))
+    gaps = F.transform(F.filter(edges, lambda e: e["label"] == OPEN), lambda e: F.struct(e["low"], e["high"]))
+    return paths.withColumns({"sequence": F.translate(F.array_join("labels", ""), OPEN, ambiguous), "open": gaps})
+
+
+def edge_modifications(edges: DataFrame, located: DataFrame, tolerance: float) -> DataFrame:
+    """edges (scan, low, high, total) with mod and mod_mass: the modified residue (place, sym, mass, mod) whose mass is nearest to the gap and less than the tolerance off, of equally near ones the lightest, then the first by name.
+
+    An edge from 0 may be one at the N-term, one to the total one at the C-term; others are modified where residues are anywhere. Edges that none explains have no row.
+    """
+    heavy = located.where("mod <> ''").select(F.col("place").alias("_place"), F.col("mass").alias("mod_mass"), "mod")
+    rows = edges.withColumn("_gap", F.col("high") - F.col("low"))
+    there = (F.col("_place") == "Anywhere") | ((F.col("_place") == "N-term") & (F.col("low") == 0)) | ((F.col("_place") == "C-term") & (F.col("high") == F.col("total")))
+    near = range_join(rows, heavy, "_gap", "mod_mass", tolerance, there & (F.abs(F.col("_gap") - F.col("mod_mass")) < tolerance))
+    best = F.min(F.struct(F.abs(F.col("_gap") - F.col("mod_mass")).alias("d"), "mod_mass", "mod"))
+    return near.groupBy("scan", "low", "high", "total").agg(best.alias("_b")).select("scan", "low", "high", "total", "_b.mod", "_b.mod_mass")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import residues as r
-from ..operators import pair_graph, sequences
+from ..operators import evidence, pair_graph, sequences, sequencing
 from ..sources import tables as t
+from .evidence_queries import EVIDENCE, TOTALS, _evidence
 from .result_queries import LETTERS, MASS, SEQ, _sequences
 from .sequencing_queries import EDGES, NODES, _graph
-from .spectra_queries import PEAKS
+from .spectra_queries import PAIRS, PEAKS
 
 QUERIES, SQL = {}, {}
 PENALTIES = {"spread": 400.0, "most": 12.0, "fixed": 4.0, "growing": 3.0, "least_gap": 110.0}
@@ -84,3 +85,29 @@ def subgraph_edges(spark, d):
 
 
 QUERIES["subgraph_edges"] = subgraph_edges
+
+
+PAIRED = f"""g as (select light scan, mass / 400 mass, tier, n, total / 400 total, row_number() over (partition by light, heavy order by tier, n desc, intensity desc, mass) - 1 rank from every join totals on scan = light),
+fit as (select *, (4 - tier) * n::double score from g where rank < 8 and mass > 56.02146 and mass < total - 56.02146),
+runs as (select *, sum(opens) over (partition by scan order by mass, rank rows unbounded preceding) run from (select *, case when coalesce(mass - lag(mass) over (partition by scan order by mass, rank) >= 0.5, true) then 1 else 0 end opens from fit)),
+un as (select scan, avg(mass) mass, sum(score) score from runs group by scan, run union all select scan, 0, 0 from fit group by scan union all select scan, any_value(total), 0 from fit group by scan),
+nodes as (select *, row_number() over (partition by scan order by mass) - 1 place from un), st as (select scan, total / 400 total from totals)"""
+
+
+@query(f"with recursive {PEAKS}, {PAIRS}, {TOTALS}, {EVIDENCE}, {MASS}, {PAIRED}, {EDGES}, {SEQ}, {LETTERS}, {SITES}, {COSTS}, {WALK} select scan, count(*) paths, round(any_value(best), 3) best, count(distinct labels) answers from near group by 1")
+def paired_paths(spark, d):
+    """Near-optimal paths of pairs of orders, whose nodes are what both show together."""
+    every, totals = _evidence(spark, d)
+    deltas = evidence.ranked(every, ["light", "heavy"]).join(totals, "light").withColumns({"mass": F.col("mass") / 400, "total": F.col("total") / 400})
+    nodes = pair_graph.paired_graph_nodes(deltas, 8, 0.5)
+    edges = sequencing.labelled_edges(nodes, r.residue_table(spark), 0.5, 110.0, 250.0)
+    costs = pair_graph.edge_costs(edges, totals.select(F.col("light").alias("scan"), (F.col("total") / 400).alias("total")), r.residue_table(spark), 0.5, **PENALTIES)
+    paths = pair_graph.pair_scored_paths(nodes, costs, _sites(spark, d), 0.9)
+    return paths.groupBy("scan").agg(F.count("*").alias("paths"), F.round(F.first("best"), 3).alias("best"), F.countDistinct(F.array_join("labels", "")).alias("answers"))
+
+
+@query(f"with recursive {GRAPH} select scan, round(score, 3) score, replace(labels, '-', 'X') as sequence, length(labels) - length(replace(labels, '-', '')) as open_edges from near")
+def spelled_paths(spark, d):
+    """Those paths as sequences, X for each edge that no residue explains."""
+    paths = pair_graph.spelled(pair_graph.pair_scored_paths(*_scored(spark, d), 0.9))
+    return paths.select("scan", F.round("score", 3).alias("score"), "sequence", F.size("open").cast("long").alias("open_edges"))

@@ -148,3 +148,13 @@ def test_nothing_to_search(spark):
     edges = spark.createDataFrame([], "scan long, a long, b long, label string, cost double")
     assert pg.pair_scored_paths(nodes, edges, sites, 0.9).collect() == [] and pg.kept_edges(nodes, edges, sites, 0.9).collect() == []
     assert pg.subgraph_edges(nodes, nodes.selectExpr("scan", "mass total"), residues, sites, **SEARCH, penalties=PENALTIES).collect() == []
+
+
+def test_spelling_and_modified_edges(spark):
+    paths = spark.createDataFrame([(1, [0.0, 57.0, 200.0, 300.0], ["G", "-", "V"]), (2, [0.0, 57.0], ["G"])], "scan long, masses array<double>, labels array<string>")
+    got = {r.scan: (r.sequence, [tuple(x) for x in r.open]) for r in pg.spelled(paths).collect()}
+    assert got == {1: ("GXV", [(57.0, 200.0)]), 2: ("G", [])}
+    located = spark.createDataFrame([("Anywhere", "A", 71.0, ""), ("Anywhere", "X", 143.0, "b"), ("Anywhere", "X", 143.0, "a"), ("N-term", "X", 90.0, "cap"), ("C-term", "X", 90.1, "tail")], "place string, sym string, mass double, mod string")
+    edges = spark.createDataFrame([(1, 57.0, 200.0, 300.0), (1, 0.0, 90.04, 300.0), (1, 210.0, 300.0, 300.0), (1, 20.0, 110.0, 300.0), (1, 0.0, 71.0, 300.0)], "scan long, low double, high double, total double")
+    found = {(r.low, r.high): (r.mod, r.mod_mass) for r in pg.edge_modifications(edges, located, 0.2).collect()}
+    assert found == {(57.0, 200.0): ("a", 143.0), (0.0, 90.04): ("cap", 90.0), (210.0, 300.0): ("tail", 90.1)}
