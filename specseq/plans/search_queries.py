@@ -101,8 +101,9 @@ def flow_hierarchy(spark, d):
     return graph_search.flow_hierarchy(_deals(spark, d)).withColumn("hierarchy", F.round("hierarchy", 9))
 
 
-@query(f"""with recursive {LINKS}, walk as (select node start, node, 0 colour from nodes union select start, dst, 1 - colour from walk join two on src = node), least_ as (select node, min(start) component from walk group by 1),
-own as (select l.node, l.component, w.colour from least_ l join walk w on w.node = l.node and w.start = l.component), odd as (select component from own group by node, component having count(*) > 1)
+@query(f"""with recursive {LINKS}, lab as (select 0 k, node, node component from nodes union all select k + 1, node, min(component) from (select k, node, component from lab union all select k, dst, component from lab join two on src = node) where k < 100 group by 1, 2),
+least_ as (select node, component from lab where k = 100), walk as (select node, 0 colour from least_ where node = component union select dst, 1 - colour from walk join two on src = node), own as (select l.node, l.component, w.colour from least_ l join walk w on w.node = l.node),
+odd as (select component from own group by node, component having count(*) > 1)
 select node, component, case when component in (select component from odd) then -1 else min(colour) end::int colour, component not in (select component from odd) bipartite from own group by 1, 2""")
 def two_colouring(spark, d):
     """Colours of the parts; -1 where a part can't be coloured so."""
