@@ -26,7 +26,7 @@ def plain(rows, names):
 
     def value(v):
         if isinstance(v, float):
-            return None if math.isnan(v) else round(v, 6)
+            return None if math.isnan(v) else round(v, 6) + 0.0  # -0.0 is 0.0
         return list(v) if hasattr(v, "__iter__") and not isinstance(v, (str, bytes)) else v
 
     return sorted((tuple(repr(value(r[i])) for i in order) for r in rows))
