@@ -59,11 +59,6 @@ def transitivity(spark, d):
 LIKE = "e as (select x.c_custkey src, y.c_custkey dst from customer x join customer y on abs(x.c_acctbal - y.c_acctbal) < 2 and x.c_custkey < y.c_custkey), b as (select src, dst from e union select dst, src from e)"
 
 
-def _like(spark, d, width=2.0):
-    c = t.table(spark, d, "customer")
-    return ranges.range_join(c.select(F.col("c_custkey").alias("src"), F.col("c_acctbal").alias("x")), c.select(F.col("c_custkey").alias("dst"), F.col("c_acctbal").alias("y")), "x", "y", width, F.expr(f"src < dst and abs(x - y) < {width}")).select("src", "dst")
-
-
 @query(f"with recursive {LIKE}, r as (select src node, src other from b union select r.node, b.dst from r join b on b.src = r.other) select node, min(other) as component from r group by 1")
 def components(spark, d):
     # Sorted neighbours join the same customers as all pairs do.
@@ -92,7 +87,7 @@ _core = ", ".join(f"k{i + 1} as materialized (select x.src, x.dst from k{i} x jo
 
 @query(f"with {LIKE.replace('< 2 and', '< 10 and')}, k0 as (select * from b), {_core} select distinct src node from k25")
 def k_core(spark, d):
-    return graphs.k_core(_like(spark, d, 10.0), 4)
+    return graphs.k_core(ranges.near_links(t.table(spark, d, "customer"), "c_custkey", "c_acctbal", 10.0, 4), 4)
 
 
 PLACES = "e as (select c_custkey src, (1000000000 + c_nationkey)::bigint dst from customer union select 1000000000 + n_nationkey, 2000000000 + n_regionkey from nation union select 2000000000 + r_regionkey, 3000000000 from region)"
