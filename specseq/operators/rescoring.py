@@ -22,12 +22,15 @@ def peptide_nodes(peptides: DataFrame) -> DataFrame:
     A peptide with another letter than residues and X, or with an X without a mass, has no places.
     """
     rows = peptides.select("scan", "total", letters(F.col("sequence")).alias("_x"), F.coalesce("mods", F.array().cast("array<double>")).alias("_m"))
-    # The n-th X weighs the n-th mass.
+    # The n-th X weighs the n-th mass; without an X no places are counted.
     seen = F.transform("_x", lambda c, i: F.size(F.filter(F.slice("_x", 1, i + 1), lambda y: y == UNKNOWN)))
-    mass = F.transform(F.arrays_zip(F.col("_x").alias("c"), seen.alias("n")), lambda z: F.when(z["c"] == UNKNOWN, F.get(F.col("_m"), z["n"] - 1)).otherwise(residue_mass(z["c"])))
+    weighed = F.transform(F.arrays_zip(F.col("_x").alias("c"), seen.alias("n")), lambda z: F.when(z["c"] == UNKNOWN, F.get(F.col("_m"), z["n"] - 1)).otherwise(residue_mass(z["c"])))
+    mass = F.when(F.array_contains("_x", UNKNOWN), weighed).otherwise(F.transform("_x", residue_mass))
     known = rows.withColumn("_w", mass).where((F.size("_x") > 1) & ~F.exists("_w", lambda m: m.isNull()))
     sums = F.aggregate("_w", F.array(F.lit(0.0)), lambda t, m: F.concat(t, F.array(F.element_at(t, -1) + m)))
-    places = F.transform(F.sequence(F.lit(1), F.size("_x") - 1), lambda i: F.struct(i.alias("place"), F.get(sums, i).alias("prm"), F.get(F.col("_x"), i - 1).alias("before"), F.get(F.col("_x"), i).alias("after")))
+    inner = F.size("_x") - 1
+    # Zipped, not looked up place by place: within a lambda the sums would be made anew for each place.
+    places = F.arrays_zip(F.sequence(F.lit(1), inner).alias("place"), F.slice(sums, 2, inner).alias("prm"), F.slice("_x", 1, inner).alias("before"), F.slice("_x", 2, inner).alias("after"))
     nodes = known.select("scan", "total", F.inline(places))
     return nodes.select("scan", "place", "prm", "total", "before", "after", amino_class(F.col("before"), F.col("after")).alias("site"), relative_place(F.col("prm"), F.col("total")).alias("rel"))
 
