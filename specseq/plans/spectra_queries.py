@@ -58,7 +58,7 @@ def unpaired_scans(spark, d):
 @query(f"with {PEAKS} select o_custkey, round_even(mz / 500, 0)::bigint bucket, round(avg(mz), 4) mz, round(avg(intensity) * count(distinct scan), 4) intensity, count(distinct scan) n_spec from peaks join orders on scan = o_orderkey group by 1, 2")
 def merge_spectra(spark, d):
     p = t.peaks(spark, d).join(t.table(spark, d, "orders").select(F.col("o_orderkey").alias("scan"), "o_custkey"), "scan")
-    return spectra.merge_spectra(p, "o_custkey", 500.0).withColumns({"mz": F.round("mz", 4), "intensity": F.round("intensity", 4)})
+    return spectra.merge_spectra(t.dealt(p, "o_custkey", of=t.table(spark, d, "lineitem")), "o_custkey", 500.0).withColumns({"mz": F.round("mz", 4), "intensity": F.round("intensity", 4)})
 
 
 SHARED = f"""{PEAKS}, {PAIRS}, spots as (select scan, round_even(mz / 2000, 0)::bigint bucket, sum(intensity) intensity from peaks group by 1, 2),

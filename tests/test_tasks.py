@@ -16,3 +16,9 @@ def test_noise_model_deals_lines_once_by_their_number(spark, monkeypatch):
     found = shuffles(catalogue.QUERIES["noise_model"](spark, FOLDER))
     assert len(found) == 1 and ", 9)" in found[0]  # 60,000 lines
     assert t.tasks(spark.range(0)) == 1 and t.tasks(spark.range(10), 3) == 4
+
+
+def test_merged_peaks_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(t.dealt, "__kwdefaults__", {"of": None, "per": 7000})
+    found = shuffles(catalogue.QUERIES["merge_spectra"](spark, FOLDER))
+    assert any("o_custkey" in line and ", 9)" in line for line in found) and not any("bucket" in line for line in found)
