@@ -152,10 +152,11 @@ def bfs_levels(edges: DataFrame, start: Column) -> DataFrame:
     return seen
 
 
-def projection(edges: DataFrame) -> DataFrame:
-    """a, b, n_common: pairs of src nodes of a bipartite graph with the number of dst nodes in common."""
-    e = edges.select("src", "dst").distinct()
-    return e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"))
+def projection(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """a, b, n_common: pairs of src nodes of a bipartite graph with the number of dst nodes in common. ``tasks``: how many share the nodes, and then the pairs."""
+    e = edges.select("src", "dst").distinct() if tasks is None else edges.select("src", "dst").repartition(tasks, "dst").distinct()
+    pairs = e.select(F.col("src").alias("a"), "dst").join(e.select(F.col("src").alias("b"), "dst"), "dst").where("a < b").select("a", "b")
+    return (pairs if tasks is None else pairs.repartition(tasks, "a", "b")).groupBy("a", "b").agg(F.count("*").alias("n_common"))
 
 
 def boundary(edges: DataFrame, inside: Column) -> DataFrame:

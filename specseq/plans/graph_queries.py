@@ -118,7 +118,8 @@ def longest_path(spark, d):
 
 @query("with e as (select distinct l_suppkey src, l_partkey dst from lineitem) select x.src a, y.src b, count(*) n_common from e x join e y on x.dst = y.dst and x.src < y.src group by 1, 2")
 def bipartite_projection(spark, d):
-    return graphs.projection(t.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+    lines = t.table(spark, d, "lineitem")
+    return graphs.projection(lines.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), t.tasks(lines))
 
 
 @query(f"with {PARTS} select src, dst from b where src % 10 = 0 and dst % 10 <> 0")

@@ -22,3 +22,11 @@ def test_merged_peaks_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(t.dealt, "__kwdefaults__", {"of": None, "per": 7000})
     found = shuffles(catalogue.QUERIES["merge_spectra"](spark, FOLDER))
     assert any("o_custkey" in line and ", 9)" in line for line in found) and not any("bucket" in line for line in found)
+
+
+def test_projected_pairs_are_dealt_by_number(spark):
+    edges = spark.createDataFrame([(a, a * b % 7) for a in range(12) for b in range(5)], "src long, dst long")
+    dealt = graphs.projection(edges, 5)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, graphs.projection(edges).collect()))
+    found = shuffles(graphs.projection(edges, 5))
+    assert found and all(", 5)" in line for line in found) and len([x for x in found if "a#" in x and "b#" in x]) == 1
