@@ -101,11 +101,12 @@ def _evidence(spark, d):
     side = lambda s: pairs.join(peaks.withColumnRenamed("scan", s), s).withColumn("side", F.lit(s))
     columns = ["light", "heavy", "side", "peak", "mz", "intensity"]
     spots = side("light").select(columns).unionByName(side("heavy").select(columns)).withColumn("part", evidence.bucket(F.col("mz"), 2000.0)).join(totals, "light")
+    spots = t.dealt(spots, "light", "heavy", of=t.table(spark, d, "lineitem"), per=t.TASK_ROWS // 2)  # a peak is in two pairs
     w = evidence.Window.partitionBy("light", "heavy", "side", "part").orderBy("peak")
     spots = spots.withColumn("k", F.row_number().over(w)).withColumns({"ion": F.when(F.col("k") == 1, "b").otherwise("y"), "n": F.lit(1)})
     tiers = evidence.evidence_deltas(spots.where("k <= 2"), 500.0, 0.0)
     sides = evidence.Window.partitionBy("light", "heavy", "part")
-    alone = spots.withColumn("_both", F.size(F.collect_set("side").over(sides))).where("k > 2 or _both < 2")
+    alone = spots.withColumn("_alone", F.min("side").over(sides) == F.max("side").over(sides)).where("k > 2 or _alone")
     mass = F.array(F.col("mz") - H, F.col("total") + (W + H) - F.col("mz"))
     lone = alone.select("light", "heavy", F.explode(mass).alias("mass"), "intensity", F.lit(1).cast("long").alias("n"), F.lit(3).alias("tier"))
     return tiers.unionByName(lone), totals

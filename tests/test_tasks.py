@@ -30,3 +30,10 @@ def test_projected_pairs_are_dealt_by_number(spark):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, graphs.projection(edges).collect()))
     found = shuffles(graphs.projection(edges, 5))
     assert found and all(", 5)" in line for line in found) and len([x for x in found if "a#" in x and "b#" in x]) == 1
+
+
+def test_evidence_is_dealt_once_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(t, "TASK_ROWS", 20_000)
+    found = shuffles(catalogue.QUERIES["evidence_tiers"](spark, FOLDER))
+    both = [x for x in found if "light#" in x and "heavy#" in x]
+    assert both and all("REPARTITION_BY_NUM" in x for x in both) and not any("part#" in x or "tier#" in x or "side#" in x for x in found)
