@@ -299,7 +299,8 @@ select p_partkey, diagonal, min(i) as start, count(*) as length from r group by
 def tag_runs(spark, d):
     l = _sequences(spark, d).select("p_partkey", F.posexplode(r.letters(F.col("seq"))).alias("i", "sym")).withColumn("i", (F.col("i") + 1).cast("long"))  # noqa: E741
     other = l.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("i").alias("j"), "sym")
-    return sequences.tag_runs(l.join(other, ["p_partkey", "sym"]), "p_partkey")
+    met = l.join(other, ["p_partkey", "sym"]).select("p_partkey", "i", "j")
+    return sequences.tag_runs(t.dealt(met, "p_partkey", of=t.table(spark, d, "part"), per=20_000), "p_partkey")  # some twenty letters a part
 
 
 @query("""with x as (select user_id, event_type = 'error' f, row_number() over (partition by user_id order by ts, event_id) - 1 i from events), y as (select user_id, i, i - row_number() over (partition by user_id order by i) run from x where f)

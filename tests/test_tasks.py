@@ -37,3 +37,8 @@ def test_evidence_is_dealt_once_by_pairs(spark, monkeypatch):
     found = shuffles(catalogue.QUERIES["evidence_tiers"](spark, FOLDER))
     both = [x for x in found if "light#" in x and "heavy#" in x]
     assert both and all("REPARTITION_BY_NUM" in x for x in both) and not any("part#" in x or "tier#" in x or "side#" in x for x in found)
+
+
+def test_matches_of_sequences_are_dealt_by_parts(spark):
+    found = shuffles(catalogue.QUERIES["tag_runs"](spark, FOLDER))
+    assert not any("diagonal" in line for line in found)
