@@ -73,6 +73,16 @@ def test_failures_end_it():
     assert len(isotopes.peeled(mz, tall, 3000.0, 3, noise=False)) == 0
 
 
+def test_charges_without_a_neighbour_are_not_looked_into(monkeypatch):
+    asked = []
+    whole = isotopes.envelope
+    monkeypatch.setattr(isotopes, "envelope", lambda *a: asked.append(a[3]) or whole(*a))
+    mz, tall = map(np.array, zip(*envelope_of(420.7, 2, 800.0, 4)))
+    got = isotopes.peeled(np.append(mz, 450.0), np.append(tall, 5.0), 3000.0, 3)
+    assert {round(m, 4) for m, _, kind in got if kind == "mono"} == {round(2 * 420.7 - PROTON, 4)} and (450.0, 5.0, "noise") in got
+    assert set(asked) <= {1, 2}  # isotopes two places off are neighbours at charge 1
+
+
 def test_deisotoping_frames(spark):
     rows = [(1, float(m), float(i)) for m, i in envelope_of(420.7, 2, 800.0)] + [(2, 100.0, 5.0), (2, None, 5.0), (3, 50.0, 1.0)]
     peaks = spark.createDataFrame(rows, "scan long, mz double, intensity double")
