@@ -135,6 +135,17 @@ def test_shifted_paths_equal_brute_force(spark):
                 assert p <= r and q <= s and m - k in (0, 1) and (m > k or abs((s - r) - (q - p)) < 0.5 + 1e-9)
 
 
+def test_few_cells_take_the_path_of_many(monkeypatch):
+    rng, asked = np.random.default_rng(4), []
+    cases = [(np.sort(rng.integers(0, 30, n) / 2.0), np.sort(rng.integers(0, 30, m) / 2.0)) for n in range(1, 8) for m in range(1, 9) for _ in range(4)]
+    few = [shifts.few_cells_path(a.tolist(), b.tolist(), k, 0.5) for a, b in cases for k in range(3)]
+    monkeypatch.setattr(shifts, "FEW_CELLS", 0)
+    assert few == [shifts.shifted_path(a, b, k, 0.5) for a, b in cases for k in range(3)]
+    monkeypatch.setattr(shifts, "FEW_CELLS", 64)
+    monkeypatch.setattr(shifts, "layers", lambda *a: asked.append(a))
+    assert shifts.shifted_path(np.arange(4.0), np.arange(4.0), 1, 0.5) == [(i, i, 0) for i in range(4)] and not asked
+
+
 # strings with modifications
 def test_strings_with_modifications(spark):
     mods = [("oxide", "M", "Anywhere", 15.9949), ("light", "G", "Anywhere", -20.0), ("same", "G", "Anywhere", 14.01565), ("cap", "N-term", "Anywhere", 42.01057), ("tail", "K", "C-term", 0.984), ("tail2", "K", "C-term", 0.984), ("odd", "S", "N-term", 79.96633)]
