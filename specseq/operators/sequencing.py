@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +47,18 @@ def labelled_edges(nodes: DataFrame, residues: DataFrame, tolerance: float, low:
     return named.withColumn("label", label).where("label is not null").select("scan", "a", "b", "gap", "label")
 
 
-def near_best(size: int, edges: list[tuple[int, int, str]], score: np.ndarray, penalty: float, alpha: float) -> list[tuple[float, list[int], list[str]]]:
+def near_best(size: int, edges: list[tuple[int, int, str]], score: Sequence[float], penalty: float, alpha: float) -> list[tuple[float, list[int], list[str]]]:
     """(score, nodes, labels) of all paths from node 0 to the last whose score is at least alpha times the best (1.01 times a negative one), best first. Edges go to greater numbers; one labelled - costs ``penalty``."""
     before: list[list[tuple[int, str]]] = [[] for _ in range(size)]
     for a, b, label in edges:
         before[b].append((a, label))
     cost = lambda label: penalty if label == "-" else 0.0
-    best = np.full(size, -np.inf)
+    score = [float(x) for x in score]
+    best = [-math.inf] * size
     best[:1] = score[:1]
     for b in range(1, size):
-        best[b] = max((best[a] - cost(label) for a, label in before[b]), default=-np.inf) + score[b]
-    if size < 2 or not np.isfinite(best[-1]):
+        best[b] = max((best[a] - cost(label) for a, label in before[b]), default=-math.inf) + score[b]
+    if size < 2 or not math.isfinite(best[-1]):
         return []
     bound = (alpha if best[-1] > 0 else 1.01) * best[-1] - 1e-9
     found, stack = [], [(size - 1, 0.0, [size - 1], [])]
@@ -76,14 +79,16 @@ def sequence_paths(nodes: DataFrame, edges: DataFrame, penalty: float, alpha: fl
 
     graphs = nodes.groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("place", "mass", "score"))).alias("n"))  # a scan's peaks
     links = edges.groupBy(F.col("scan").alias("_of")).agg(F.collect_list(F.struct("a", "b", "label")).alias("e"))
-    rows = graphs.join(links, F.col("scan") == F.col("_of")).select(F.col("scan").cast("long"), "n", "e")
+    # Plain columns of arrays: a dictionary for each node and edge would be most of a small graph's time.
+    columns = [F.col(c).alias(c.replace(".", "_")) for c in ("n.mass", "n.score", "e.a", "e.b", "e.label")]
+    rows = graphs.join(links, F.col("scan") == F.col("_of")).select(F.col("scan").cast("long"), *columns)
 
     def run(batches):
         for batch in batches:
             out = []
-            for scan, n, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                paths = near_best(len(n), [(x["a"], x["b"], x["label"]) for x in e], np.array([x["score"] for x in n]), penalty, alpha)
-                out += [(scan, i, float(score), [n[k]["mass"] for k in path], labels) for i, (score, path, labels) in enumerate(paths)]
+            for scan, mass, weights, a, b, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                paths = near_best(len(mass), list(zip(a, b, names)), weights, penalty, alpha)
+                out += [(scan, i, score, [mass[k] for k in path], labels) for i, (score, path, labels) in enumerate(paths)]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.string())]
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["scan", "rank", "score", "masses", "labels"])

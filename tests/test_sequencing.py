@@ -78,3 +78,8 @@ def test_near_best_against_all_paths():
         top = max(s for s, _ in every)
         want = sorted((round(s, 6), p) for s, p in every if s >= (0.8 if top > 0 else 1.01) * top - 1e-9)
         assert sorted((round(s, 6), p) for s, p, _ in got) == want and got[0][0] == pytest.approx(top)
+
+
+def test_near_best_counts_in_plain_numbers():
+    found = sequencing.near_best(3, [(0, 1, "G"), (1, 2, "-")], [0.0, 5.0, 0.0], 1.5, 0.8)
+    assert found == [(3.5, [0, 1, 2], ["G", "-"])] and type(found[0][0]) is float
