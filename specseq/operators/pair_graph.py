@@ -8,6 +8,9 @@ say of each edge, before any path is walked, whether a near-optimal path uses it
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,10 +67,10 @@ class PairGraph:
 
     _classes: dict[tuple[str, str], int] = {}
 
-    def __init__(self, score: np.ndarray, edges: list[tuple[int, int, str, float]], site: dict[int, float]):
-        self.score, self.size = score, len(score)
+    def __init__(self, score: Sequence[float], edges: list[tuple[int, int, str, float]], site: dict[int, float]):
+        self.score, self.size = [float(x) for x in score], len(score)
         self.edges = sorted(edges)
-        self.cost = np.array([e[3] for e in self.edges])
+        self.cost = [e[3] for e in self.edges]
         self.into, self.out = [[] for _ in score], [[] for _ in score]
         for i, (a, b, *_) in enumerate(self.edges):
             self.out[a].append(i)
@@ -87,26 +90,33 @@ class PairGraph:
             self._classes[before, after] = found
         return found
 
-    def pairs(self, node: int) -> np.ndarray:
+    def pairs(self, node: int) -> list[list[float]]:
         """Scores of the pairs at a node: edges into it by edges from it."""
-        label = [self.edges[i][2] for i in self.into[node]], [self.edges[i][2] for i in self.out[node]]
-        return self.score[node] + np.array([[self.site.get(self._class(x, y), 0.0) for y in label[1]] for x in label[0]]).reshape(len(label[0]), len(label[1]))
+        own, after = self.score[node], [self.edges[i][2] for i in self.out[node]]
+        return [[own + self.site.get(self._class(self.edges[i][2], y), 0.0) for y in after] for i in self.into[node]]
 
     def solve(self) -> float:
         """Fills left (best score of a path that ends with each edge, its cost included) and right (of what follows the edge); the best whole score, -inf without a path."""
         n = len(self.edges)
-        self.left, self.right, self.at = np.full(n, -np.inf), np.full(n, -np.inf), {}
-        self.left[self.out[0]] = -self.cost[self.out[0]]
+        left, right, cost, self.at = [-math.inf] * n, [-math.inf] * n, self.cost, {}
+        for i in self.out[0]:
+            left[i] = -cost[i]
         for node in range(1, self.size - 1):
-            if self.into[node] and self.out[node]:
-                self.at[node] = self.pairs(node)
-                self.left[self.out[node]] = (self.left[self.into[node]][:, None] + self.at[node]).max(axis=0) - self.cost[self.out[node]]
-        self.right[self.into[self.size - 1]] = 0.0
+            into, out = self.into[node], self.out[node]
+            if into and out:
+                at = self.at[node] = self.pairs(node)
+                for k, i in enumerate(out):
+                    left[i] = max(left[j] + row[k] for j, row in zip(into, at)) - cost[i]
+        for i in self.into[self.size - 1]:
+            right[i] = 0.0
         for node in range(self.size - 2, 0, -1):
             if node in self.at:
-                self.right[self.into[node]] = (self.at[node] + (self.right - self.cost)[self.out[node]][None, :]).max(axis=1)
+                rest = [right[i] - cost[i] for i in self.out[node]]
+                for j, row in zip(self.into[node], self.at[node]):
+                    right[j] = max(x + y for x, y in zip(row, rest))
+        self.left, self.right = np.array(left), np.array(right)
         ends = self.into[self.size - 1]
-        return float(self.left[ends].max()) if ends else -np.inf
+        return max(left[i] for i in ends) if ends else -math.inf
 
     def near(self, best: float, alpha: float) -> float:
         """The least score of a near-optimal path: alpha times the best, 1.01 times a negative one."""
@@ -127,7 +137,7 @@ class PairGraph:
                 continue
             k = self.out[node].index(edge)
             for j, before in enumerate(self.into[node]):
-                rest = gained - self.cost[edge] + self.at[node][j, k]
+                rest = gained - self.cost[edge] + self.at[node][j][k]
                 if self.left[before] + rest >= bound:
                     stack.append((before, rest, (before, *path)))
 
@@ -137,17 +147,20 @@ def _graphs(nodes: DataFrame, edges: DataFrame, sites: DataFrame) -> DataFrame:
     of_scan = nodes.groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("place", "mass", "score"))).alias("nodes"))  # a scan's peaks
     links = edges.groupBy(F.col("scan").alias("_of")).agg(F.collect_list(F.struct("a", "b", "label", "cost")).alias("edges"))
     table = sites.agg(F.map_from_entries(F.collect_list(F.struct("class", "site_score"))).alias("sites"))
-    return of_scan.join(links, F.col("scan") == F.col("_of")).crossJoin(F.broadcast(table)).select(F.col("scan").cast("long"), "nodes", "edges", "sites")
+    # Plain columns of arrays: a dictionary for each node and edge would be most of a small graph's time.
+    columns = [F.col(c).alias(c.replace(".", "_")) for c in ("nodes.mass", "nodes.score", "edges.a", "edges.b", "edges.label", "edges.cost")]
+    return of_scan.join(links, F.col("scan") == F.col("_of")).crossJoin(F.broadcast(table)).select(F.col("scan").cast("long"), *columns, "sites")
 
 
 def _solved(batches):
     """scan, masses and the solved PairGraph with its best score, for each scan that has a path."""
     for batch in batches:
-        for scan, nodes, edges, sites in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            graph = PairGraph(np.array([x["score"] for x in nodes]), [(e["a"], e["b"], e["label"], e["cost"]) for e in edges], dict(sites))
-            best = graph.solve() if graph.size > 1 else -np.inf
-            if np.isfinite(best):
-                yield scan, [x["mass"] for x in nodes], graph, best
+        site = dict(batch.column("sites")[0].as_py()) if batch.num_rows else {}  # one table for all
+        for scan, masses, score, *edges in zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True):
+            graph = PairGraph(score, list(zip(*edges)), site)
+            best = graph.solve() if graph.size > 1 else -math.inf
+            if math.isfinite(best):
+                yield scan, masses, graph, best
 
 
 def _batches(rows, schema: pa.Schema):

@@ -158,3 +158,12 @@ def test_spelling_and_modified_edges(spark):
     edges = spark.createDataFrame([(1, 57.0, 200.0, 300.0), (1, 0.0, 90.04, 300.0), (1, 210.0, 300.0, 300.0), (1, 20.0, 110.0, 300.0), (1, 0.0, 71.0, 300.0)], "scan long, low double, high double, total double")
     found = {(r.low, r.high): (r.mod, r.mod_mass) for r in pg.edge_modifications(edges, located, 0.2).collect()}
     assert found == {(57.0, 200.0): ("a", 143.0), (0.0, 90.04): ("cap", 90.0), (210.0, 300.0): ("tail", 90.1)}
+
+
+def test_graphs_are_handed_over_as_plain_arrays(spark):
+    nodes = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 60.0, 2.0), (1, 2, 120.0, 0.0)], "scan long, place int, mass double, score double")
+    edges = spark.createDataFrame([(1, 0, 1, "G", 0.0), (1, 1, 2, "A", 1.0)], "scan long, a int, b int, label string, cost double")
+    sites = spark.createDataFrame([(k, 0.0) for k in range(16)], "class int, site_score double")
+    assert not any("struct" in kind for _, kind in pg._graphs(nodes, edges, sites).dtypes)
+    [path] = pg.pair_scored_paths(nodes, edges, sites, 0.9).collect()
+    assert (path.score, path.masses, path.labels) == (1.0, [0.0, 60.0, 120.0], ["G", "A"])
