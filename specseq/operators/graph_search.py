@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graphs import _kept, both_ways, components
 
+#: Nodes from -HALF to HALF - 1 leave a bit of a long free.
+HALF = 1 << 62
+
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of a directed graph (src, dst).
@@ -203,22 +207,26 @@ def is_acyclic(edges: DataFrame) -> bool:
 
 
 def two_colouring(edges: DataFrame) -> DataFrame:
-    """node, component, colour, bipartite: 0 or 1 by the steps from the least node of the component, and whether no edge of the component joins equal colours. A node with an edge to itself makes its component no bipartite one."""
-    two = _kept(both_ways(edges))
-    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    seen = _kept(components(edges).withColumn("colour", F.lit(None).cast("int")))
-    alone = loops.join(seen, "node", "left_anti").select("node", F.col("node").alias("component"))
-    front, level = _kept(seen.where("node = component").select("node", F.lit(0).alias("colour"))), 0
-    done = front
-    while not front.isEmpty():
-        level += 1
-        front = _kept(two.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(done, "node", "left_anti").select("node", F.lit(level % 2).alias("colour")))
-        done = _kept(done.unionByName(front))
-    coloured = _kept(seen.drop("colour").join(done, "node"))
-    a, b = coloured.select(F.col("node").alias("src"), "component", F.col("colour").alias("_a")), coloured.select(F.col("node").alias("dst"), F.col("colour").alias("_b"))
-    odd = two.join(a, "src").join(b, "dst").where("_a = _b").select("component").unionByName(loops.join(coloured, "node").select("component")).distinct().withColumn("_odd", F.lit(True))
-    rows = coloured.join(odd, "component", "left").select("node", "component", "colour", F.col("_odd").isNull().alias("bipartite"))
-    return rows.unionByName(alone.select("node", "component", F.lit(0).alias("colour"), F.lit(False).alias("bipartite")))
+    """node, component, colour, bipartite: 0 or 1 by the steps from the least node of the component, and whether no edge of the component joins equal colours; if one does, colour is null. A node with an edge to itself makes its component no bipartite one.
+
+    Each node stands on two sides, and an edge leads from either side of one end to the other side of the other. A part of
+    that graph that holds both sides of a node has a walk of odd length from it to itself. No round goes over the steps.
+    """
+    known = _kept(edges.select("src", "dst").where("src is not null and dst is not null"))
+    kind = known.schema["src"].dataType
+    # One number for a node and its side goes faster through joins than two; nodes that leave no bit for it keep two.
+    if isinstance(kind, T.IntegralType) and known.where(f"src not between {-HALF} and {HALF - 1} or dst not between {-HALF} and {HALF - 1}").isEmpty():
+        place = lambda x, side: F.shiftleft(F.col(x).cast("long"), 1).bitwiseOR(F.lit(side))
+        parts = lambda x: F.struct(F.shiftright(x, 1).cast(kind).alias("node"), F.col(x).bitwiseAND(F.lit(1)).cast("int").alias("side")).alias(x)
+    else:
+        place, parts = lambda x, side: F.struct(F.col(x).alias("node"), F.lit(side).alias("side")), F.col
+    cover = known.select(place("src", 0).alias("src"), place("dst", 1).alias("dst")).unionByName(known.select(place("src", 1).alias("src"), place("dst", 0).alias("dst")))
+    sides = components(cover).select(parts("node"), parts("component"))
+    side = lambda n: F.max(F.when(F.col("node.side") == n, F.col("component.side")))
+    both = sides.groupBy("node.node").agg(F.max("component.node").alias("component"), side(0).alias("_colour"), side(1).alias("_other"))
+    # Parts of an even walk only hold the component's least node on one side each.
+    bipartite = F.col("_colour") != F.col("_other")
+    return both.select("node", "component", F.when(bipartite, F.col("_colour")).alias("colour"), bipartite.alias("bipartite"))
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:

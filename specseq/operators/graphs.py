@@ -83,6 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
     Edges point to lesser nodes. In each round a node's greater neighbours are hung on the least of it and its neighbours, then
     its lesser ones and itself on the least of these; when nothing changes, all hang on the least node of their part. Chains shrink
     by a factor each round, so rounds grow with the logarithm of the longest one, and edges never become more than they were.
+    Nodes meet by merge joins, so that no round sends a table to the driver for a broadcast.
     """
     live, before = _kept(both_ways(edges).where("src > dst")), None
     while True:
@@ -92,9 +93,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = size
         two = live.unionByName(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = two.groupBy("src").agg(F.min("dst").alias("_m")).select("src", F.least("src", "_m").alias("_m"))
-        large = _kept(two.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("_m").alias("dst")).distinct())
+        large = _kept(two.where("dst > src").join(least.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("_m").alias("dst")).distinct())
         lesser = large.groupBy("src").agg(F.min("dst").alias("_m"))
-        hung = large.join(lesser, "src").select(F.col("dst").alias("src"), F.col("_m").alias("dst")).where("src <> dst")
+        hung = large.join(lesser.hint("merge"), "src").select(F.col("dst").alias("src"), F.col("_m").alias("dst")).where("src <> dst")
         live = _kept(hung.unionByName(lesser.select("src", F.col("_m").alias("dst"))).distinct())
 
 

@@ -302,6 +302,20 @@ def test_measures_equal_brute_force(spark, seed):
     assert {r.node: r.centrality for r in gs.eigenvector_centrality(frame, 4).collect()} == pytest.approx(dict(zip(nodes, v)))
 
 
+def test_colours_take_no_round_a_step(spark):
+    """A path of 300 steps, an even and an odd circle, a loop by itself and one in a pair, and nodes that leave no bit free; no table is broadcast."""
+    last = (1 << 63) - 1
+    for up in (-1000, last - 1000):
+        edges = [(i + 1, i) for i in range(300)] + [(400 + i, 400 + (i + 1) % 6) for i in range(6)] + [(500 + i, 500 + (i + 1) % 5) for i in range(5)] + [(600, 600), (700, 700), (701, 700)]
+        frame = spark.createDataFrame([(a + up, b + up) for a, b in edges] + [(up, None), (None, up)], "src long, dst long")
+        started = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+        got = gs.two_colouring(frame)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - started < 150
+        want = {i + up: (up, i % 2, True) for i in range(301)} | {400 + i + up: (400 + up, i % 2, True) for i in range(6)}
+        want |= {500 + i + up: (500 + up, None, False) for i in range(5)} | {600 + up: (600 + up, None, False)} | {i + up: (700 + up, None, False) for i in (700, 701)}
+        assert {r.node: (r.component, r.colour, r.bipartite) for r in got.collect()} == want
+
+
 def test_paths_are_followed_back(spark):
     frame = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (3, 4, 0.5), (9, 1, 1.0)], "src long, dst long, weight double")
     paths = gs.weighted_paths(frame, spark.createDataFrame([(1,)], "node long"), 1.0)
