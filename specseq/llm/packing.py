@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_slices, written
+from .common import give_back, in_slices, written
 
 #: Pieces of one length are numbered in so many parts.
 SALTS = 256
@@ -88,6 +88,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024) ->
     def run(batches):
         if path not in _tokenizers:
             _tokenizers[path] = Encoder(path)
+            give_back()
         for batch in in_slices(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), _tokenizers[path].encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):

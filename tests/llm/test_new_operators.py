@@ -284,3 +284,22 @@ def test_alignment_query(spark, tools):
         if w:
             r = got[d.doc_id]
             assert (r.n_a, r.n_b, r.n_groups, r.n_links) == w[:4] and r.n_best <= r.n_links <= r.count_sum
+
+
+def test_written_tables_send_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from specseq.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    rows = common.written(texts.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    assert sum(r.n for r in rows) == 2000 and max(r.bytes for r in rows) < 2 * common.BATCH_BYTES
+    through = common.settled("sizes")(lambda df: df.mapInArrow(sizes, "n long, bytes long"))(texts).collect()
+    assert sum(r.n for r in through) == 2000 and max(r.bytes for r in through) < 2 * common.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
