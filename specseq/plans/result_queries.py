@@ -145,11 +145,7 @@ def scan_diff_histogram(spark, d):
 @query("""with d as (select round_even(abs(a.s_acctbal - b.s_acctbal) / 50, 0)::bigint b from supplier a join supplier b on a.s_suppkey < b.s_suppkey), s as (select unnest([b - 1, b, b + 1]) bucket from d) select bucket, count(*) n from s where bucket between 0 and 20 group by 1""")
 def mass_delta_frequency(spark, d):
     """Differences of supplier balances up to 1000, each counted in its bucket and both neighbours."""
-    # Equal balances are one row with their number, so that copies multiply and are not paired.
-    s = t.table(spark, d, "supplier").where("s_acctbal is not null").groupBy("s_acctbal").agg(F.count("*").alias("n"))
-    near = ranges.range_join(s.select(F.col("s_acctbal").alias("x"), "n"), s.select(F.col("s_acctbal").alias("y"), F.col("n").alias("k")), "x", "y", 1100.0, F.expr("x < y and abs(x - y) <= 1100"))
-    alike = s.where("n > 1").select(F.lit(0).cast("long").alias("m"), F.expr("n * (n - 1) div 2").alias("pairs"))
-    gaps = near.groupBy(F.bround(F.abs(F.col("x") - F.col("y")) / 50).cast("long").alias("m")).agg(F.sum(F.col("n") * F.col("k")).alias("pairs")).unionByName(alike)
+    gaps = ranges.gap_counts(t.table(spark, d, "supplier"), "s_acctbal", 50.0, 21)
     return gaps.select(F.explode(F.array(*[F.col("m") + i for i in (-1, 0, 1)])).alias("bucket"), "pairs").where("bucket between 0 and 20").groupBy("bucket").agg(F.sum("pairs").alias("n"))
 
 

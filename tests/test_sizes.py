@@ -1,8 +1,11 @@
 """Work whose rows, tasks or shuffles must not grow faster than what it returns."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from specseq.operators import training
+from specseq.operators import ranges, training
+from specseq.plans import result_queries
 
 
 def test_pairs_of_a_cluster_are_dealt_by_their_number(spark, monkeypatch):
@@ -11,3 +14,41 @@ def test_pairs_of_a_cluster_are_dealt_by_their_number(spark, monkeypatch):
     got = training.cluster_training_pairs(scans, "scan", "c", "answer")
     assert sorted(tuple(r) for r in got.collect()) == [(a, b, 1 if a % 3 == b % 3 else -1) for a in range(1, 61) for b in range(a + 1, 61)]
     assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 900
+
+
+def test_gaps_are_counted_without_pairs(spark, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    # Halves of a bucket, copies, values between two buckets of the join, and what can't be compared.
+    values = [rng.choice([rng.randrange(-4000, 4000) * 0.5, rng.randrange(-80, 80) * 25.0, 1100.0, 1099.99, round(rng.uniform(-999, 9999), 2)]) for _ in range(300)] + [None, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "s_suppkey long, s_acctbal double")
+    want: dict[int, int] = {}
+    for i, x in enumerate(values[:300]):
+        for y in values[i + 1 : 300]:
+            if (m := round(abs(x - y) / 50)) <= 21:
+                want[m] = want.get(m, 0) + 1
+    for piece in (7, 50_000):
+        monkeypatch.setattr(ranges, "PIECE_VALUES", piece)
+        assert {r.m: r.pairs for r in ranges.gap_counts(rows, "s_acctbal", 50.0, 21).collect()} == want
+    assert ranges.gap_counts(rows.where("s_acctbal is null"), "s_acctbal", 50.0, 21).collect() == []
+    # Before, each pair was a row of the join.
+    rows.write.parquet(str(tmp_path / "supplier.parquet"))
+    found = result_queries.QUERIES["mass_delta_frequency"](spark, str(tmp_path))
+    found.collect()
+    assert most_rows(found) < 2000
+
+
+def most_rows(df):
+    """The greatest number of rows that a node of a query's plan gave, of those that count them. The query has been run."""
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            found.append(metric.get().value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    return max(found)
