@@ -110,7 +110,7 @@ def _ladders(spark, d):
 
 
 def _shown(spark, d):
-    return features.annotated(features.fragment_ions(_ladders(spark, d), ["b", "b-H2O", "y", "y-H2O"]), t.peaks(spark, d), 200.0)
+    return features.shown_fragments(_ladders(spark, d), t.peaks(spark, d), ["b", "b-H2O", "y", "y-H2O"], 200.0)
 
 
 @query(f"""with {PEAKS}, {RUNGS}, {IONS}, f as (select scan, place, bool_or(ion = 'b') b, bool_or(ion = 'y') y, bool_or(ion = 'b-H2O') bw, bool_or(ion = 'y-H2O') yw from shown where ion in ('b', 'y', 'b-H2O', 'y-H2O') group by 1, 2)

@@ -1,11 +1,15 @@
 """Work whose rows, tasks or shuffles must not grow faster than what it returns."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from specseq.operators import ranges, training
-from specseq.plans import result_queries
+from specseq.operators import features, ranges, training
+from specseq.plans import catalogue, result_queries
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_pairs_of_a_cluster_are_dealt_by_their_number(spark, monkeypatch):
@@ -52,3 +56,38 @@ def most_rows(df):
             found.append(metric.get().value())
         plan += [node.children().apply(i) for i in range(node.children().size())]
     return max(found)
+
+
+def dealt_by(df):
+    """The columns by which each shuffle of a query's plan deals."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [re.sub(r"#\d+L?", "", x).rsplit(", ", 1)[0] for x in re.findall(r"(?<!Reused)Exchange hashpartitioning\(([^)]*)\)", plan)]
+
+
+@pytest.mark.parametrize("name", ["psm_feature_rows", "training_lines"])
+def test_fragments_pass_no_shuffle(spark, name):
+    """Rows of a scan, of which fragments are many, were dealt by place, peak and bucket as well."""
+    keys = dealt_by(catalogue.QUERIES[name](spark, FOLDER))
+    assert keys and set(keys) == {"scan"} and len(keys) < 7
+
+
+def test_shown_fragments_are_the_annotated_ions(spark, monkeypatch):
+    rng = random.Random(6)
+    places = {s: sorted(rng.sample(range(9), rng.randrange(1, 7))) for s in range(12)}
+    ladder = [(s, p, float(rng.randrange(0, 40)), 60.0) for s, ps in places.items() for p in ps] + [(50, 0, 5.0, 9.0), (51, 0, None, 9.0), (51, 1, 4.0, None)]
+    rng.shuffle(ladder)
+    peaks = [(s, k, rng.randrange(0, 130) / 2, rng.randrange(1, 9) * 1.0) for s in [*range(10), 51, 60] for k in range(rng.randrange(1, 9))] + [(3, 99, None, 1.0)]
+    ladders, spots = spark.createDataFrame(ladder, "scan long, place int, prm double, total double"), spark.createDataFrame(peaks, "scan long, peak long, mz double, intensity double")
+    ions = ["b", "b-H2O", "y"]
+    # By hand: every ion beside every peak of its scan.
+    want = set()
+    for i in features.fragment_ions(ladders, ions).collect():
+        near = [(abs(z - i.mass), z, k, x) for s, k, z, x in peaks if s == i.scan and z is not None and i.mass is not None and abs(z - i.mass) < 2.0]
+        if near:
+            _, z, k, x = min(near)
+            want.add((i.scan, i.place, i.other, i.ion, i.mass, k, z - i.mass, x))
+    for cells in (3, 1 << 20):
+        monkeypatch.setattr(features, "CELLS", cells)
+        assert {tuple(r) for r in features.shown_fragments(ladders, spots, ions, 2.0).collect()} == want and len(want) > 30
+    assert {tuple(r) for r in features.annotated(features.fragment_ions(ladders, ions), spots, 2.0).collect()} == want
+    assert features.shown_fragments(ladders.limit(0), spots, ions, 2.0).collect() == [] and features.shown_fragments(ladders, spots.limit(0), ions, 2.0).collect() == []
