@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from specseq.operators import features, ranges, training
+from specseq.operators import features, ranges, rescoring, training
 from specseq.plans import catalogue, result_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -91,3 +91,23 @@ def test_shown_fragments_are_the_annotated_ions(spark, monkeypatch):
         assert {tuple(r) for r in features.shown_fragments(ladders, spots, ions, 2.0).collect()} == want and len(want) > 30
     assert {tuple(r) for r in features.annotated(features.fragment_ions(ladders, ions), spots, 2.0).collect()} == want
     assert features.shown_fragments(ladders.limit(0), spots, ions, 2.0).collect() == [] and features.shown_fragments(ladders, spots.limit(0), ions, 2.0).collect() == []
+
+
+def test_nodes_of_peptides_are_dealt_by_scan(spark):
+    """Nodes were dealt by scan and node to meet their own parts, and by scan again to meet the node before."""
+    from specseq.plans import training_queries
+
+    nodes, tables, _ = training_queries._trained(spark, FOLDER, left=True)
+    scored = rescoring.left_scored(rescoring.scored_nodes(nodes, training_queries.LIKELIHOOD, training_queries.PRIOR, tables), training_queries.LIKELIHOOD, training_queries.PRIOR, tables)
+    found = rescoring.residue_confidence(scored)
+    assert not any("scan" in k for k in dealt_by(found))
+    # By the nodes' order alone.
+    plain = scored.select("scan", "place", "before", "after", "s")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rescoring.residue_confidence(plain).collect())) and not found.isEmpty()
+
+
+def test_the_node_before_counts_only_with_noise(spark):
+    rows = [(1, 1, 5, 0.5), (1, 2, 6, 0.0), (1, 3, 7, 0.5), (1, 4, 8, None), (2, 1, 9, 0.0)]
+    found = rescoring.with_left(spark.createDataFrame(rows, "scan long, place int, site int, noise double"), ["site"])
+    got = {(r.scan, r.place): (r.left_site, r.last) for r in found.collect()}
+    assert got == {(1, 1): (None, False), (1, 2): (5, False), (1, 3): (5, True), (1, 4): (7, False), (2, 1): (None, None)}
