@@ -9,6 +9,7 @@ say of each edge, before any path is walked, whether a near-optimal path uses it
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,7 +20,6 @@ from pyspark.sql.window import Window
 
 from ..functions.residues import OTHER_SITE, RESIDUES, SITE_CLASSES, amino_class
 from .evidence import graph_nodes
-from .graphs import _kept
 from .ranges import range_join
 from .sequencing import labelled_edges
 
@@ -232,48 +232,96 @@ def paired_graph_nodes(deltas: DataFrame, most: int, tolerance: float) -> DataFr
     return inner.unionByName(ends).withColumn("place", F.row_number().over(w.orderBy("mass")) - 1).select("scan", "place", "mass", "score")
 
 
+class _Search:
+    """The search of one scan's subgraphs: strongest(), labelled_edges() and edge_costs() for the few nodes of a graph, in plain numbers."""
+
+    def __init__(self, residues: list[tuple[float, str]], site: dict[int, float], tolerance: float, low: float, high: float, cut: float, most: int, penalties: dict):
+        self.residues, self.site = sorted(residues), site
+        self.masses = [m for m, _ in self.residues]
+        self.tolerance, self.low, self.high, self.cut, self.most, self.penalties = tolerance, low, high, cut, most, penalties
+
+    def labelled(self, gap: float) -> tuple[str | None, float]:
+        """The label of a gap, None where it is no edge, and its distance to the nearest residue's mass."""
+        at = bisect_left(self.masses, gap)
+        error = min(abs(m - gap) for m in self.masses[max(at - 1, 0) : at + 1])
+        reach = self.tolerance + 1e-6
+        near = self.residues[bisect_left(self.masses, gap - reach) : bisect_right(self.masses, gap + reach)]
+        fits = [sym for m, sym in near if abs(m - gap) < self.tolerance]
+        return (fits[0] if len(fits) == 1 else OPEN if fits or gap > self.low else None), error
+
+    def cost(self, label: str, gap: float, error: float, total: float) -> float:
+        spread, most = self.penalties["spread"], self.penalties["most"]
+        value = most
+        if error < self.tolerance:
+            ppm = error / total * 1e6
+            value = 0.0 if ppm < spread else most - most * spread / ((most - 1) * ppm + (2 - most) * spread)
+        return value + (self.penalties["fixed"] + self.penalties["growing"] / self.penalties["least_gap"] * gap if label == OPEN else 0.0)
+
+    def kept(self, ends, inner, total: float, width: float, share: float) -> list[tuple[float, float, str]]:
+        """low, high and label of the near-optimal edges of the graph of two ends and the ``most`` best inner nodes (mass, score)."""
+        nodes = [ends[0], *sorted(sorted(inner, key=lambda n: (-n[1], n[0]))[: self.most]), ends[1]]
+        edges = []
+        for a, (x, _) in enumerate(nodes):
+            for b in range(a + 1, len(nodes)):
+                gap = nodes[b][0] - x
+                if 0 < gap < self.high:
+                    label, error = self.labelled(gap)
+                    if label is not None and (label != OPEN or gap < width - 1):
+                        edges.append((a, b, label, self.cost(label, gap, error, total)))
+        if not edges:
+            return []
+        graph = PairGraph([s for _, s in nodes], edges, self.site)
+        best = graph.solve()
+        return [(nodes[graph.edges[i][0]][0], nodes[graph.edges[i][1]][0], graph.edges[i][2]) for i in graph.kept(graph.near(best, share))] if math.isfinite(best) else []
+
+    def rows(self, nodes: list[tuple[float, float]], total: float, alpha: float, sub_alpha: float):
+        """depth, interval_low, interval_high, low, high, label, state of all edges of a scan (nodes sorted by mass)."""
+        if len(nodes) < 2:
+            return
+        top, inner = nodes[-1][0], nodes[1:-1]
+        masses = [m for m, _ in inner]
+        found = [(0, 0.0, top, *e) for e in self.kept((nodes[0], nodes[-1]), inner, total, top + 2 * self.high, alpha)]
+        done: dict[tuple[float, float], bool] = {}
+        fresh, depth = found, 0
+        while todo := {(low, high) for *_, low, high, label in fresh if label == OPEN and high - low >= self.cut and (low, high) not in done}:
+            depth += 1
+            fresh = []
+            for low, high in todo:
+                within = inner[bisect_right(masses, low) : bisect_left(masses, high)]
+                got = self.kept(((low, 0.0), (high, 0.0)), within, total, high - low, sub_alpha)
+                done[low, high] = bool(got)
+                fresh += [(depth, low, high, *e) for e in got]
+            found = found + fresh
+        for *row, low, high, label in found:
+            yield *row, low, high, label, "residue" if label != OPEN else "split" if done.get((low, high)) else "open"
+
+
 def subgraph_edges(nodes: DataFrame, totals: DataFrame, residues: DataFrame, sites: DataFrame, *, tolerance: float, low: float, high: float, cut: float, most: int, alpha: float, sub_alpha: float, penalties: dict) -> DataFrame:
     """scan, depth, interval_low, interval_high, low, high, label, state of the edges that the search goes through.
 
     The first graph of a scan has its ``most`` best nodes; its edges on near-optimal paths (alpha) are kept. Each
     open edge of at least ``cut`` is then searched: the ``most`` best nodes within it and its ends are a graph of
     their own, whose edges are shorter than the interval by more than 1, and whose near-optimal part (sub_alpha) is
-    kept. Open edges of that part are searched in their turn, all intervals of all scans in one table a round, until
-    none is left. state: residue for a labelled edge, split for an open one that a subgraph replaces, open for one
-    that is too short or has no path within it. An interval that several graphs share is searched once, at its least depth.
+    kept. Open edges of that part are searched in their turn, until none is left. state: residue for a labelled edge,
+    split for an open one that a subgraph replaces, open for one that is too short or has no path within it. An
+    interval that several graphs share is searched once, at its least depth. A scan's search needs no other scan, so it is done where its nodes are.
     """
-    inner = _kept(nodes.where("place > 0").join(nodes.groupBy("scan").agg(F.max("place").alias("_last")), "scan").where("place < _last").select("scan", "mass", "score"))
-    sites, depth = _kept(sites), 0
-
-    def kept_of(graphs: DataFrame, of: DataFrame, share: float) -> DataFrame:
-        """Near-optimal edges of graphs (scan is the graph's number); ``of`` has number, total and width."""
-        edges = labelled_edges(graphs, residues, tolerance, low, high)
-        edges = edges.join(of.select(F.col("number").alias("scan"), "width"), "scan").where((F.col("label") != OPEN) | (F.col("gap") < F.col("width") - 1)).drop("width")
-        costs = edge_costs(edges, of.select(F.col("number").alias("scan"), "total"), residues, tolerance, **penalties)
-        return kept_edges(graphs, costs, sites, share)
-
-    whole = _kept(nodes.groupBy("scan").agg(F.max("mass").alias("high")).join(totals.select("scan", "total"), "scan").select("scan", F.lit(0.0).alias("low"), "high", F.col("high").alias("total")))
-    first = kept_of(strongest(nodes, most), whole.select(F.col("scan").alias("number"), "total", (F.col("high") + 2 * high).alias("width")), alpha)
-    found = _kept(first.join(whole.select("scan", "total", F.col("low").alias("interval_low"), F.col("high").alias("interval_high")), "scan").select("scan", F.lit(0).alias("depth"), "interval_low", "interval_high", "low", "high", "label", "total"))
-    searched = found.select("scan", F.lit(-1.0).alias("low"), F.lit(-1.0).alias("high"), F.lit(False).alias("done")).limit(0)
-    fresh = found
-    while True:
-        todo = fresh.where((F.col("label") == OPEN) & (F.col("high") - F.col("low") >= cut)).select("scan", "low", "high", "total").distinct()
-        todo = _kept(todo.join(searched.select("scan", "low", "high"), ["scan", "low", "high"], "left_anti").withColumn("number", F.monotonically_increasing_id()))
-        if todo.isEmpty():
-            break
-        depth += 1
-        within = inner.join(todo.select("scan", "number", "low", "high"), "scan").where("mass > low and mass < high").select(F.col("number").alias("scan"), "mass", "score")
-        ends = todo.select(F.col("number").alias("scan"), F.explode(F.array("low", "high")).alias("mass"), F.lit(0.0).alias("score"))
-        placed = within.unionByName(ends).withColumn("place", F.row_number().over(Window.partitionBy("scan").orderBy("mass")) - 1)
-        edges = kept_of(strongest(placed, most), todo.select("number", "total", (F.col("high") - F.col("low")).alias("width")), sub_alpha)
-        intervals = todo.select(F.col("scan").alias("_of"), "number", F.col("low").alias("interval_low"), F.col("high").alias("interval_high"), "total")
-        fresh = _kept(edges.select(F.col("scan").alias("number"), "low", "high", "label").join(intervals, "number").select(F.col("_of").alias("scan"), F.lit(depth).alias("depth"), "interval_low", "interval_high", "low", "high", "label", "total"))
-        done = fresh.select("scan", F.col("interval_low").alias("low"), F.col("interval_high").alias("high")).distinct().withColumn("done", F.lit(True))
-        searched = _kept(searched.unionByName(todo.select("scan", "low", "high").join(done, ["scan", "low", "high"], "left").withColumn("done", F.coalesce("done", F.lit(False)))))
-        found = _kept(found.unionByName(fresh))
-    state = F.when(F.col("label") != OPEN, "residue").when(F.col("done"), "split").otherwise("open")
-    return found.drop("total").join(searched, ["scan", "low", "high"], "left").select("scan", "depth", "interval_low", "interval_high", "low", "high", "label", state.alias("state"))
+    whole = nodes.groupBy("scan").agg(F.sort_array(F.collect_list(F.struct("place", "mass", "score"))).alias("_n"))  # a scan's peaks
+    rows = whole.join(totals.where("total is not null").select("scan", F.col("total").cast("double").alias("_total")), "scan").select(F.col("scan").cast("long"), "_total", F.col("_n.mass").alias("_mass"), F.col("_n.score").alias("_score"))
+    letters = [(float(x.mono), x.sym) for x in residues.select("mono", "sym").collect()]  # a row a residue
+    site = {x["class"]: x.site_score for x in sites.select("class", "site_score").collect()}  # sixteen rows
+    kinds = {"scan": pa.int64(), "depth": pa.int32(), "interval_low": pa.float64(), "interval_high": pa.float64(), "low": pa.float64(), "high": pa.float64(), "label": pa.string(), "state": pa.string()}
+
+    def run(batches):
+        search = _Search(letters, site, tolerance, low, high, cut, most, penalties)
+        for batch in batches:
+            out = []
+            for scan, total, mass, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += [(scan, *x) for x in search.rows(list(zip(mass, score)), total, alpha, sub_alpha)]
+            columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    return rows.mapInArrow(run, "scan long, depth int, interval_low double, interval_high double, low double, high double, label string, state string")
 
 
 def spelled(paths: DataFrame, ambiguous: str = "X") -> DataFrame:

@@ -111,3 +111,9 @@ def test_the_node_before_counts_only_with_noise(spark):
     found = rescoring.with_left(spark.createDataFrame(rows, "scan long, place int, site int, noise double"), ["site"])
     got = {(r.scan, r.place): (r.left_site, r.last) for r in found.collect()}
     assert got == {(1, 1): (None, False), (1, 2): (5, False), (1, 3): (5, True), (1, 4): (7, False), (2, 1): (None, None)}
+
+
+def test_subgraphs_are_searched_where_their_nodes_are(spark):
+    """Each round of the search shuffled all nodes and wrote its edges anew."""
+    found = catalogue.QUERIES["subgraph_edges"](spark, FOLDER)
+    assert set(dealt_by(found)) <= {"scan", "o_orderkey", "l_orderkey"} and len(dealt_by(found)) < 10 and "graph-" not in "".join(found.inputFiles())
