@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from specseq.operators import features, ranges, rescoring, training
+from specseq.operators import features, isotopes, ranges, rescoring, training
 from specseq.plans import catalogue, result_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -117,3 +117,17 @@ def test_subgraphs_are_searched_where_their_nodes_are(spark):
     """Each round of the search shuffled all nodes and wrote its edges anew."""
     found = catalogue.QUERIES["subgraph_edges"](spark, FOLDER)
     assert set(dealt_by(found)) <= {"scan", "o_orderkey", "l_orderkey"} and len(dealt_by(found)) < 10 and "graph-" not in "".join(found.inputFiles())
+
+
+def test_chi_squares_only_where_scores_contend(monkeypatch):
+    """Each of the envelopes tried had two of them computed, whether its score was near the best or not."""
+    asked = []
+    plain = isotopes.chi_square
+    monkeypatch.setattr(isotopes, "chi_square", lambda *a: asked.append(a) or plain(*a))
+    ratios = isotopes.isotope_ratios(40)
+    masses = [500.0 + k * isotopes.STEP for k in range(-isotopes.REACH, 5)]
+    found = [0.0] * isotopes.REACH + [1000 * x for x in ratios[:5]]
+    assert isotopes.monoisotopic(masses, found, ratios)[0] == 500.0 and len(asked) <= 4
+    # One more peak in front, with a score within a fifth of the best: now they decide.
+    found[isotopes.REACH - 1] = 30.0
+    assert isotopes.monoisotopic(masses, found, ratios)[0] in masses
