@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from specseq.llm import near_vectors
 from specseq.operators import features, isotopes, ranges, rescoring, training
 from specseq.plans import catalogue, result_queries
 
@@ -131,3 +132,13 @@ def test_chi_squares_only_where_scores_contend(monkeypatch):
     # One more peak in front, with a score within a fifth of the best: now they decide.
     found[isotopes.REACH - 1] = 30.0
     assert isotopes.monoisotopic(masses, found, ratios)[0] in masses
+
+
+def test_cells_are_written_once(spark, monkeypatch):
+    """All vectors with their guests were written a second time, in one table."""
+    names, plain = [], near_vectors.written
+    monkeypatch.setattr(near_vectors, "written", lambda df, name: names.append((name, "unit" in df.columns and "angle" in df.columns)) or plain(df, name))
+    rows = spark.createDataFrame([(i, [1.0, i % 3 * 1.0, 0.5], 1) for i in range(12)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(rows).collect()}
+    assert got == {i: (7 if i % 3 else 3, 1 if i % 3 else 0) for i in range(12)}
+    assert [n for n, whole in names if whole] == ["assigned", "blocks"]
