@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 from ..functions.residues import OTHER_SITE, RESIDUES, SITE_CLASSES, amino_class
 from .evidence import graph_nodes
 from .ranges import range_join
-from .sequencing import labelled_edges
 
 #: Paths that one batch of rows holds.
 SLICE = 4096
